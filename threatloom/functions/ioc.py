@@ -15,14 +15,14 @@ from threatloom.functions.text import normalize_text, refang, strip_punctuation,
 # The run before the dot cannot hold a dot itself, so a possessive match is the same and never backtracks.
 _FILENAME = java_regex(V.FILENAME, ignore_case=True).replace("+\\.(?:exe", "++\\.(?:exe")
 _PATTERNS = {
-    "ipv4": java_regex(V.IPV4, opens_with=r"\p{Nd}{1,3}\."),
-    "ipv4_port": java_regex(V.IPV4_PORT, opens_with=r"\p{Nd}{1,3}\."),
-    "sha256": java_regex(V.SHA256, opens_with="[a-fA-F0-9]{32}"),
-    "sha1": java_regex(V.SHA1, opens_with="[a-fA-F0-9]{32}"),
-    "md5": java_regex(V.MD5, opens_with="[a-fA-F0-9]{32}"),
-    "url": java_regex(V.URL, opens_with="http"),
-    "url_s1": java_regex(V.URL_S1, opens_with="http"),
-    "domain": java_regex(V.DOMAIN, opens_with=r"[a-zA-Z0-9][a-zA-Z0-9-]*+\."),
+    "ipv4": java_regex(V.IPV4, word_edges=True),
+    "ipv4_port": java_regex(V.IPV4_PORT, word_edges=True),
+    "sha256": java_regex(V.SHA256, word_edges=True),
+    "sha1": java_regex(V.SHA1, word_edges=True),
+    "md5": java_regex(V.MD5, word_edges=True),
+    "url": java_regex(V.URL, word_edges=True),
+    "url_s1": java_regex(V.URL_S1, word_edges=True),
+    "domain": java_regex(V.DOMAIN, word_edges=True),
     "filename": _FILENAME,
     "email": java_regex(V.EMAIL),
 }
@@ -30,9 +30,7 @@ _PATTERNS = {
 _REQUIRED_PIECE = {"url": "://", "url_s1": "://", "email": "@", "ipv4": ".", "ipv4_port": ":", "domain": "."}
 _EXTENSION = "(?iu)" + V.FILENAME[V.FILENAME.index(r"\.(?:exe") : -len(r"\b")]
 # All three hash lengths are bounded by non-word characters: one pass finds them, the length tells them apart.
-_ANY_HASH = java_regex(
-    r"\b[a-fA-F0-9]{32}(?:[a-fA-F0-9]{8}(?:[a-fA-F0-9]{24})?)?\b", opens_with="[a-fA-F0-9]{32}"
-)
+_ANY_HASH = java_regex(r"\b[a-fA-F0-9]{32}(?:[a-fA-F0-9]{8}(?:[a-fA-F0-9]{24})?)?\b", word_edges=True)
 _HASH_LENGTHS = {"sha256": 64, "sha1": 40, "md5": 32}
 _IOC = "struct<kind:string,value:string>"
 

@@ -13,16 +13,16 @@ _IN_CLASS = {"w": WORD_CHARS, "s": SPACE_CHARS, "d": r"\p{Nd}"}
 _OUTSIDE = {"w": f"[{WORD_CHARS}]", "s": f"[{SPACE_CHARS}]", "d": r"\p{Nd}", "b": BOUNDARY}
 
 
-def java_regex(pattern: str, ignore_case: bool = False, opens_with: str | None = None) -> str:
+def java_regex(pattern: str, ignore_case: bool = False, word_edges: bool = False) -> str:
     """Same matches in java.util.regex as ``pattern`` has in Python's ``re`` on str.
 
-    ``opens_with`` is for patterns whose match starts, and if bounded also ends, in a word character:
-    a cheap look-ahead tried before the boundary, which then needs to look one way only.
+    ``word_edges`` is for patterns whose match starts, and if bounded also ends, in a word character:
+    the boundary then needs to look one way only, which is several times faster.
     """
-    if opens_with is not None:
+    if word_edges:
         body = java_regex(pattern.removeprefix(r"\b").removesuffix(r"\b"))
         end = f"(?![{WORD_CHARS}])" if pattern.endswith(r"\b") else ""
-        return f"(?={opens_with})(?<![{WORD_CHARS}]){body}{end}"
+        return f"(?<![{WORD_CHARS}]){body}{end}"
     out: list[str] = []
     in_class = False
     for token in re.findall(r"\\.|.", pattern, flags=re.S):

@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
-from threatloom.functions.patterns import SPACE_CHARS
 
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-_EDGE_SPACE = f"\\A[{SPACE_CHARS}]+|[{SPACE_CHARS}]+\\z"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -20,7 +19,7 @@ def normalize_text(c: Column) -> Column:
 
 def strip_space(c: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def normalize_heading(c: Column) -> Column:

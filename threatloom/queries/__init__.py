@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "rule_queries")
+MODULES = ("text_queries", "rule_queries", "page_queries", "section_queries")
 
 
 def registered():

@@ -78,7 +78,7 @@ NOTE = (
     "|| ';' || sha256 || 'x ' || sha256 || chr(10) || ' host  ' || domain || '. mail ops.' || CAST(c AS STRING) || '+x@' "
     "|| domain_b || ' file ' || file || ', a_' || md5 || ' v1.2.3.4.5 999.1.1.1 1.1.1.1.com ' "
     "|| replace(domain_b, '.', '[.]') || ' hxxp://' || domain || '(.)x hxxps[:]//' || domain_b || ' ü' || md5 "
-    "|| ' (copy of ' || file || ') setup.DLL readme.txt -' || domain || '-'"
+    "|| '; bare ' || sha1 || ' ; (copy of ' || file || ') setup.DLL readme.txt -' || domain || '-'"
 )
 TEXTS = (
     f"indicators AS ({INDICATORS_SQL}),\n"
