@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "rule_queries", "page_queries", "section_queries")
+MODULES = (
+    "text_queries",
+    "rule_queries",
+    "page_queries",
+    "section_queries",
+    "history_queries",
+    "stix_queries",
+    "source_queries",
+)
 
 
 def registered():

@@ -321,26 +321,26 @@ def expected_rows_sql(expected: list[tuple[str, str, str]]) -> str:
     return f"SELECT k, row_number() OVER (PARTITION BY k ORDER BY place) AS ord, kind, value FROM ({first}) AS f"
 
 
-def event_snapshots(spark: SparkSession, sf_dir: str, hours: int, users: int | None) -> DataFrame:
+def snapshot_entries(events: DataFrame, hours: int, users: int | None) -> DataFrame:
     """Index entries from events: source is the event type, a snapshot covers some hours."""
     user = F.col("user_id") if users is None else F.col("user_id") % users
     seconds = hours * 3600
     bucket = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds) * seconds)
-    return (
-        table(spark, sf_dir, "events")
-        .select(
-            F.col("event_type").alias("source_name"),
-            bucket.alias("collected_at"),
-            F.concat(F.lit("https://example.org/post/"), user.cast("string")).alias("publication_url"),
-        )
-        .distinct()
+    return events.select(
+        F.col("event_type").alias("source_name"),
+        bucket.alias("collected_at"),
+        F.concat(F.lit("https://example.org/post/"), user.cast("string")).alias("publication_url"),
     )
 
 
+def event_snapshots(spark: SparkSession, sf_dir: str, hours: int, users: int | None) -> DataFrame:
+    return snapshot_entries(table(spark, sf_dir, "events"), hours, users).distinct()
+
+
 def event_snapshots_sql(hours: int, users: int | None) -> str:
     user = "user_id" if users is None else f"user_id % {users}"
     return (
         "SELECT DISTINCT event_type AS source_name, "
-        f"to_timestamp(floor(epoch(ts) / {hours * 3600}) * {hours * 3600})::TIMESTAMPTZ AT TIME ZONE 'UTC' AS collected_at, "
+        f"time_bucket(INTERVAL {hours} HOUR, ts, TIMESTAMP '1970-01-01') AS collected_at, "
         f"'https://example.org/post/' || CAST({user} AS STRING) AS publication_url FROM events"
     )

@@ -33,6 +33,7 @@ def replay_batch(entries: DataFrame, baselines: DataFrame) -> tuple[DataFrame, D
     known_at = baselines.groupBy("source_name").agg(F.max("collected_at").alias("known_at"))
     on_time = (
         entries.select(_COLUMNS)
+        .distinct()
         .join(known_at, "source_name", "left")
         .filter(F.col("known_at").isNull() | (F.col("collected_at") > F.col("known_at")))
         .drop("known_at")
