@@ -29,7 +29,7 @@ def normalize_heading(c: Column) -> Column:
 
 def fold_case(c: Column) -> Column:
     """Case folding: upper then lower also expands ligatures and sharp s."""
-    return F.translate(F.lower(F.upper(c)), "ς", "σ")
+    return F.translate(F.lower(F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS"))), "ς", "σ")
 
 
 def refang(c: Column) -> Column:

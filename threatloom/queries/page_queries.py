@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
@@ -15,7 +15,12 @@ from threatloom.queries import sql as Q
 from threatloom.queries.catalog import query
 from threatloom.sources import snapshots as S
 
-ELEMENTS, TEXTS = F.col("elements"), F.col("texts")
+def _elements() -> Column:
+    return F.col("elements")
+
+
+def _texts() -> Column:
+    return F.col("texts")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1) AS hrefs FROM pages)",
 )
 def select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = F.posexplode(F.transform(H.select(ELEMENTS, "nav ul a[href]"), lambda e: e["href"])).alias("pos", "href")
+    hits = F.posexplode(F.transform(H.select(_elements(), "nav ul a[href]"), lambda e: e["href"])).alias("pos", "href")
     return _pages(spark, sf_dir).select("page_id", hits).select("page_id", (F.col("pos") + 1).alias("ord"), "href")
 
 
@@ -62,7 +67,7 @@ def _page_text_sql(inner: str) -> str:
     + " AS text FROM pages)",
 )
 def node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = H.node_text(TEXTS, H.first_or_null(H.select(ELEMENTS, "article")), " ")
+    text = H.node_text(_texts(), H.first_or_null(H.select(_elements(), "article")), " ")
     return _pages(spark, sf_dir).select("page_id", text.alias("text")).select(
         "page_id", F.md5("text").alias("digest"), F.length("text").alias("chars")
     )
@@ -122,7 +127,7 @@ _index_query(
     "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hrefs FROM pages))",
 )
 def resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.posexplode(F.transform(H.select(ELEMENTS, "a[href]"), lambda e: e["href"])).alias("pos", "href")
+    links = F.posexplode(F.transform(H.select(_elements(), "a[href]"), lambda e: e["href"])).alias("pos", "href")
     hrefs = _pages(spark, sf_dir).select("page_id", "url", links)
     return hrefs.select("page_id", (F.col("pos") + 1).alias("ord"), U.resolve_url(F.col("url"), F.col("href")).alias("link"))
 
@@ -204,7 +209,7 @@ _publication_query(
 def title_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title each link of a listing page would get from its surroundings alone."""
     pages = H.parse_html(C.index_pages(spark, sf_dir, V.PP), "html")
-    titles = F.transform(H.select(ELEMENTS, "a[href]"), lambda a: X.title_nearby(ELEMENTS, TEXTS, a))
+    titles = F.transform(H.select(_elements(), "a[href]"), lambda a: X.title_nearby(_elements(), _texts(), a))
     found = pages.select("k", F.posexplode(titles).alias("pos", "title"))
     return found.select("k", (F.col("pos") + 1).alias("ord"), "title")
 
@@ -217,7 +222,7 @@ def title_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links cut to their first letter, so that pages repeat them."""
-    rows = F.transform(H.select(ELEMENTS, "a[href]"), lambda e: F.struct(F.lower(F.left(e["href"], F.lit(2))).alias("href")))
+    rows = F.transform(H.select(_elements(), "a[href]"), lambda e: F.struct(F.lower(F.left(e["href"], F.lit(2))).alias("href")))
     found = _pages(spark, sf_dir).select("page_id", F.posexplode(X.dedup_first(rows, "href")).alias("pos", "r"))
     return found.select("page_id", (F.col("pos") + 1).alias("ord"), "r.href")
 
@@ -229,7 +234,7 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that list nothing, counting only links with certain letters."""
     pages = _pages(spark, sf_dir)
-    links = F.filter(H.select(ELEMENTS, "a[href]"), lambda a: a["href"].rlike("^/.*[ßéèü]"))
+    links = F.filter(H.select(_elements(), "a[href]"), lambda a: a["href"].rlike("^/.*[ßéèü]"))
     return X.index_failures(pages.withColumn("links", links)).select("page_id", "error")
 
 
@@ -237,7 +242,7 @@ def _container_query(key: str, profile: str, sql: str) -> None:
     @query(key, sql)
     def container(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = H.parse_html(C.entry_pages(spark, sf_dir, profile), "html")
-        found = pages.select("k", E.entry_container(ELEMENTS, TEXTS, profile).alias("e"))
+        found = pages.select("k", E.entry_container(_elements(), _texts(), profile).alias("e"))
         return found.select("k", "e.tag", F.btrim("e.classes").alias("classes"))
 
 
@@ -258,10 +263,10 @@ _container_query(
     + ", ''), 'Index title') AS title FROM pages",
 )
 def entry_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    container = E.entry_container(ELEMENTS, TEXTS, V.SL)
+    container = E.entry_container(_elements(), _texts(), V.SL)
     pages = _pages(spark, sf_dir).withColumn("container", container)
     return pages.select(
-        "page_id", E.entry_title(ELEMENTS, TEXTS, F.col("container"), F.lit("Index title")).alias("title")
+        "page_id", E.entry_title(_elements(), _texts(), F.col("container"), F.lit("Index title")).alias("title")
     )
 
 
@@ -278,9 +283,9 @@ _CONTENT = (
     f"SELECT page_id, md5(content) AS digest, length(content) AS chars FROM (SELECT page_id, {_CONTENT} AS content FROM pages)",
 )
 def entry_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    container = E.entry_container(ELEMENTS, TEXTS, V.SL)
+    container = E.entry_container(_elements(), _texts(), V.SL)
     content = _pages(spark, sf_dir).withColumn("container", container).select(
-        "page_id", E.entry_content(TEXTS, F.col("container")).alias("content")
+        "page_id", E.entry_content(_texts(), F.col("container")).alias("content")
     )
     return content.select("page_id", F.md5("content").alias("digest"), F.length("content").alias("chars"))
 

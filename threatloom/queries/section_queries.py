@@ -12,7 +12,12 @@ from threatloom.operators import html as H
 from threatloom.queries import corpora as C
 from threatloom.queries.catalog import query
 
-ELEMENTS, TEXTS = F.col("elements"), F.col("texts")
+def _elements() -> Column:
+    return F.col("elements")
+
+
+def _texts() -> Column:
+    return F.col("texts")
 
 
 def _with(select: str) -> str:
@@ -30,7 +35,7 @@ def _rows(parts: list[tuple[str, ...]], names: list[str]) -> str:
 
 def _read(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
     pages = H.parse_html(C.entry_pages(spark, sf_dir, profile), "html")
-    return pages.withColumn("container", E.entry_container(ELEMENTS, TEXTS, profile))
+    return pages.withColumn("container", E.entry_container(_elements(), _texts(), profile))
 
 
 def _numbered(df: DataFrame, rows: Column, *fields: str) -> DataFrame:
@@ -39,7 +44,7 @@ def _numbered(df: DataFrame, rows: Column, *fields: str) -> DataFrame:
 
 
 def _heading(profile: str) -> Column:
-    return E.ioc_heading(ELEMENTS, TEXTS, F.col("container"), profile)
+    return E.ioc_heading(_elements(), _texts(), F.col("container"), profile)
 
 
 def _heading_query(key: str, profile: str, text: str) -> None:
@@ -59,7 +64,7 @@ _heading_query(
 
 
 def _blocks(profile: str) -> Column:
-    return let(_heading(profile), lambda h: E.section_blocks(ELEMENTS, TEXTS, h, profile))
+    return let(_heading(profile), lambda h: E.section_blocks(_elements(), _texts(), h, profile))
 
 
 def _block_query(key: str, profile: str, parts: list[tuple[str, ...]]) -> None:
@@ -89,7 +94,7 @@ _block_query(
 def _hint_query(key: str, profile: str, parts: list[tuple[str, ...]]) -> None:
     @query(key, _rows(parts, ["tag", "hint"]))
     def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-        paired = let(_blocks(profile), lambda blocks: E.carry_hint(blocks, TEXTS, profile))
+        paired = let(_blocks(profile), lambda blocks: E.carry_hint(blocks, _texts(), profile))
         shown = F.transform(paired, lambda p: F.struct(p["block"]["tag"].alias("tag"), p["hint"].alias("hint")))
         return _numbered(_read(spark, sf_dir, profile), shown, "tag", "hint")
 
@@ -151,16 +156,16 @@ _hint_query(
     ),
 )
 def candidate_texts_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paired = let(_blocks(V.S1), lambda blocks: E.carry_hint(blocks, TEXTS, V.S1))
-    texts = F.flatten(F.transform(paired, lambda p: E.candidate_texts_s1(ELEMENTS, TEXTS, p["block"])))
+    paired = let(_blocks(V.S1), lambda blocks: E.carry_hint(blocks, _texts(), V.S1))
+    texts = F.flatten(F.transform(paired, lambda p: E.candidate_texts_s1(_elements(), _texts(), p["block"])))
     shown = F.transform(texts, lambda t: F.struct(t.alias("text")))
     return _numbered(_read(spark, sf_dir, V.S1), shown, "text")
 
 
 def _candidates(profile: str) -> Column:
-    paired = let(_blocks(profile), lambda blocks: E.carry_hint(blocks, TEXTS, profile))
+    paired = let(_blocks(profile), lambda blocks: E.carry_hint(blocks, _texts(), profile))
     kept = F.filter(paired, lambda p: p["block"]["tag"] != "table")
-    return F.flatten(F.transform(kept, lambda p: E.candidate_texts(ELEMENTS, TEXTS, p["block"], p["hint"], profile)))
+    return F.flatten(F.transform(kept, lambda p: E.candidate_texts(_elements(), _texts(), p["block"], p["hint"], profile)))
 
 
 def _dots(name: str) -> str:
@@ -201,8 +206,8 @@ _candidate_query(
 
 
 def _tables(profile: str) -> Column:
-    tables = H.descendants(ELEMENTS, F.col("container"), ("table",))
-    return F.flatten(F.transform(tables, lambda t: E.table_texts(ELEMENTS, TEXTS, t, profile)))
+    tables = H.descendants(_elements(), F.col("container"), ("table",))
+    return F.flatten(F.transform(tables, lambda t: E.table_texts(_elements(), _texts(), t, profile)))
 
 
 @query(
@@ -258,9 +263,9 @@ def row_typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with("SELECT k, CASE k % 3 WHEN 2 THEN 0 ELSE 1 END AS tables, CASE k % 3 WHEN 0 THEN 7 WHEN 1 THEN 4 ELSE 0 END AS lines FROM indicators"),
 )
 def ioc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.ioc_tables(ELEMENTS, TEXTS, F.col("container"))
+    found = E.ioc_tables(_elements(), _texts(), F.col("container"))
     tables = _read(spark, sf_dir, V.PP).select("k", "elements", found.alias("t"))
-    lines = F.transform("t", lambda t: F.size(H.descendants(ELEMENTS, t, ("tr",))))
+    lines = F.transform("t", lambda t: F.size(H.descendants(_elements(), t, ("tr",))))
     return tables.select("k", F.size("t").alias("tables"), F.aggregate(lines, F.lit(0), lambda a, n: a + n).alias("lines"))
 
 
