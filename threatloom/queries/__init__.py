@@ -12,6 +12,7 @@ MODULES = (
     "history_queries",
     "stix_queries",
     "source_queries",
+    "run_queries",
 )
 
 

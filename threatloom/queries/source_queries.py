@@ -299,15 +299,16 @@ def write_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src_17_latest_runs",
-    "SELECT 'feed ' || CAST(o_custkey AS STRING) AS source_name, max(strftime(o_orderdate, '%Y-%m-%d') || '#' || "
+    "SELECT 'feed ' || CAST(o_custkey AS STRING) AS source_name, max(strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') || '#' || "
     "lpad(CAST(o_orderkey AS STRING), 12, '0')) AS snapshot_locator FROM orders GROUP BY o_custkey",
 )
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "runs")
-    # Seconds from the key keep the runs of one day apart.
-    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") / 1000000)
+    # Runs once a month; a part of a second from the key keeps the runs of one day apart.
+    month = F.date_trunc("month", "o_orderdate")
+    at = month.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") / 10000000)
     locator = F.concat(
-        F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("#"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+        F.date_format(month, "yyyy-MM-dd"), F.lit("#"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     )
     results = C.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("feed "), F.col("o_custkey").cast("string")).alias("source_name"),
