@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,14 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 def empty_array(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that they are evaluated exactly once per row.
+
+    Filters on a projected column are pushed below the projection and evaluate it again, and so does the
+    filter Spark infers when the column is exploded. Neither passes a generator, so the columns come out of
+    one that makes a single row.
+    """
+    fields = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))

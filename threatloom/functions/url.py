@@ -7,31 +7,28 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.expressions import let
 
-_PARTS = r"(?s)\A(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
-_LAST_SEGMENT_PARAMS = r"(?s)\A((?:.*/)?[^/;]*)(?:;(.*))?\z"
+# Scheme, host, path without the parameters of its last segment, parameters, query, fragment.
+_PARTS = (
+    r"(?s)\A(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^/;?#]*)(?:;([^/?#]*))?(?:\?([^#]*))?(?:#(.*))?\z"
+)
+_PART_NAMES = ("scheme", "netloc", "path", "params", "query", "fragment")
 
 
 def _clean(c: Column) -> Column:
     """Drop leading control characters and blanks, and tabs and line breaks anywhere."""
-    return F.regexp_replace(c, r"\A[\x00-\x20]+|[\t\r\n]", "")
+    return F.ltrim(F.translate(c, "\t\r\n", ""), F.lit("".join(map(chr, range(0x21)))))
 
 
 def split_url(c: Column) -> Column:
     """struct<scheme,netloc,path,params,query,fragment>; absent parts are empty strings."""
+    # A cleaned URL has no line break, so one match and one split give all parts.
+    joined = F.regexp_replace(_clean(c), _PARTS, "\n".join(f"${i}" for i in range(1, 7)))
 
-    def parts(url: Column) -> Column:
-        part = lambda n: F.regexp_extract(url, _PARTS, n)
-        path = part(3)
-        return F.struct(
-            F.lower(part(1)).alias("scheme"),
-            F.substring(part(2), 3, 2147483647).alias("netloc"),
-            F.regexp_extract(path, _LAST_SEGMENT_PARAMS, 1).alias("path"),
-            F.regexp_extract(path, _LAST_SEGMENT_PARAMS, 2).alias("params"),
-            part(4).alias("query"),
-            part(5).alias("fragment"),
-        )
+    def parts(found: Column) -> Column:
+        fields = [F.get(found, F.lit(i)).alias(name) for i, name in enumerate(_PART_NAMES)]
+        return F.struct(F.lower(F.get(found, F.lit(0))).alias("scheme"), *fields[1:])
 
-    return let(_clean(c), parts)
+    return let(F.split(joined, "\n"), parts)
 
 
 def url_host(c: Column) -> Column:
@@ -78,6 +75,8 @@ def _resolve_path(base_path: Column, path: Column) -> Column:
 
     relative = let(F.concat(folder, F.split(path, "/")), merged)
     segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
+    # Most links are rooted and have no dot segments.
+    settled = path.startswith("/") & ~F.contains(path, F.lit("/."))
 
     def walk(all_segments: Column) -> Column:
         kept = F.aggregate(
@@ -91,36 +90,34 @@ def _resolve_path(base_path: Column, path: Column) -> Column:
         joined = F.array_join(F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
         return F.when(joined == "", F.lit("/")).otherwise(joined)
 
-    return let(segments, walk)
+    return F.when(settled, path).otherwise(let(segments, walk))
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` on a page at ``base`` (an http or https URL); null when it is malformed."""
+def resolve_from(base: Column, b: Column, href: Column) -> Column:
+    """Absolute form of ``href`` on a page at ``base``, whose split form is ``b``; null when it is malformed."""
 
-    def join(u: Column, b: Column) -> Column:
+    def join(u: Column) -> Column:
         foreign = (u["scheme"] != "") & (u["scheme"] != b["scheme"])
         no_path = (u["path"] == "") & (u["params"] == "")
+        other_host = u["netloc"] != ""
+
+        def on_this_host(path: Column) -> Column:
+            params = F.when(no_path, b["params"]).otherwise(u["params"])
+            query = F.when(no_path & (u["query"] == ""), b["query"]).otherwise(u["query"])
+            return _build(b["scheme"], b["netloc"], path, params, query, u["fragment"])
+
+        path = F.when(no_path, b["path"]).otherwise(_resolve_path(b["path"], u["path"]))
         return (
             F.when(F.coalesce(href, F.lit("")) == "", base)
             .when(_has_bad_brackets(u["netloc"]), F.lit(None).cast("string"))
             .when(foreign, href)
-            .when(u["netloc"] != "", _build(b["scheme"], u["netloc"], u["path"], u["params"], u["query"], u["fragment"]))
-            .when(
-                no_path,
-                _build(
-                    b["scheme"],
-                    b["netloc"],
-                    b["path"],
-                    b["params"],
-                    F.when(u["query"] == "", b["query"]).otherwise(u["query"]),
-                    u["fragment"],
-                ),
-            )
-            .otherwise(
-                _build(
-                    b["scheme"], b["netloc"], _resolve_path(b["path"], u["path"]), u["params"], u["query"], u["fragment"]
-                )
-            )
+            .when(other_host, _build(b["scheme"], u["netloc"], u["path"], u["params"], u["query"], u["fragment"]))
+            .otherwise(let(path, on_this_host))
         )
 
-    return let(split_url(base), lambda b: let(split_url(href), lambda u: join(u, b)))
+    return let(split_url(href), join)
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """Absolute form of ``href`` on a page at ``base`` (an http or https URL); null when it is malformed."""
+    return let(split_url(base), lambda b: resolve_from(base, b, href))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
-from threatloom.functions.expressions import any_of, empty_array, let
+from threatloom.functions.expressions import any_of, compute_once, empty_array, let
 from threatloom.functions.ioc import dedup_iocs, extract_by_hint, is_protected, kind_hint, number_iocs, typed_values
 from threatloom.functions.patterns import java_regex
 from threatloom.functions.text import clean_lines, fold_case, normalize_heading, normalize_text, value_lines
@@ -323,6 +323,6 @@ def parse_entries(pages: DataFrame, profile: str | None = None) -> DataFrame:
     else:
         fields = by_profile(lambda name: entry_fields(elements, texts, title, name), F.col("profile"))
     kept = [c for c in pages.columns if c not in ("html", "index_title")]
-    read = parsed.select(*kept, "html_error", fields.alias("entry"))
+    read = compute_once(parsed, entry=fields)
     error = F.coalesce("html_error", F.when(F.col("entry").isNull(), F.lit("no content found")))
     return read.select(*kept, "entry.title", "entry.content", "entry.iocs", error.alias("error"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
-from threatloom.functions.expressions import any_of, let
+from threatloom.functions.expressions import any_of, compute_once, let
 from threatloom.functions.patterns import java_regex
 from threatloom.functions.text import normalize_text, strip_space
-from threatloom.functions.url import resolve_url, split_url
+from threatloom.functions.url import resolve_from, split_url
 from threatloom.operators import html as H
 
 INDEX_ENTRY = "struct<ord:int,title:string,publication_url:string>"
@@ -18,8 +18,8 @@ _SL_ARTICLE_PATH = java_regex(V.SL_ARTICLE_PATH)
 _PP_ARTICLE_PATH = java_regex(V.PP_ARTICLE_PATH, ignore_case=True)
 
 
-def is_publication(url: Column, base: Column, profile: str) -> Column:
-    """Whether a resolved link of a page at ``base`` is a publication of the feed."""
+def is_publication_of(url: Column, base: Column, profile: str) -> Column:
+    """``is_publication`` with the page's URL already split."""
 
     def same_site(u: Column, b: Column) -> Column:
         return u["scheme"].isin("http", "https") & (u["netloc"] == b["netloc"])
@@ -37,8 +37,12 @@ def is_publication(url: Column, base: Column, profile: str) -> Column:
         return u["scheme"].isin("http", "https") & (u["netloc"] == V.PP_HOST) & path.rlike(_PP_ARTICLE_PATH) & ~skipped
 
     test = {V.S1: s1, V.SL: sl, V.PP: pp}[profile]
-    judged = let(split_url(url), lambda u: let(split_url(base), lambda b: test(u, b)))
-    return F.coalesce(judged, F.lit(False))
+    return F.coalesce(let(split_url(url), lambda u: test(u, base)), F.lit(False))
+
+
+def is_publication(url: Column, base: Column, profile: str) -> Column:
+    """Whether a resolved link of a page at ``base`` is a publication of the feed."""
+    return let(split_url(base), lambda b: is_publication_of(url, b, profile))
 
 
 def title_nearby(elements: Column, texts: Column, anchor: Column) -> Column:
@@ -83,20 +87,14 @@ def index_links(elements: Column, texts: Column, base: Column, profile: str) ->
             return own
         return let(own, lambda t: F.when(t != "", t).otherwise(title_nearby(elements, texts, a)))
 
-    def link(a: Column) -> Column:
+    def link(a: Column, page: Column) -> Column:
         href = a["href"] if profile == V.S1 else strip_space(a["href"])
-        return let(
-            href,
-            lambda h: F.struct(
-                h.alias("href"),
-                resolve_url(base, h).alias("publication_url"),
-                a.alias("anchor"),
-            ),
-        )
+        return F.struct(resolve_from(base, page, href).alias("publication_url"), a.alias("anchor"))
 
-    def listed(links: Column) -> Column:
+    def listed(page: Column) -> Column:
+        linked = F.filter(anchors, lambda a: strip_space(a["href"]) != "" if profile != V.S1 else a["href"] != "")
         publications = F.filter(
-            links, lambda x: (x["href"] != "") & is_publication(x["publication_url"], base, profile)
+            F.transform(linked, lambda a: link(a, page)), lambda x: is_publication_of(x["publication_url"], page, profile)
         )
         titled = F.transform(
             publications,
@@ -113,7 +111,7 @@ def index_links(elements: Column, texts: Column, base: Column, profile: str) ->
             ),
         )
 
-    return let(F.transform(anchors, link), listed)
+    return let(split_url(base), listed)
 
 
 def by_profile(make, profile: Column, profiles: tuple[str, ...] = (V.S1, V.SL, V.PP)) -> Column:
@@ -132,7 +130,7 @@ def read_index_pages(pages: DataFrame, profile: str | None = None) -> DataFrame:
         links = index_links(elements, texts, base, profile)
     else:
         links = by_profile(lambda name: index_links(elements, texts, base, name), F.col("profile"))
-    return parsed.withColumn("links", links).drop("elements", "texts")
+    return compute_once(parsed, links=links).drop("elements", "texts")
 
 
 def index_entries(pages: DataFrame, profile: str | None = None) -> DataFrame:

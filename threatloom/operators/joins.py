@@ -1,4 +1,4 @@
-"""Joins with a side whose size is checked first."""
+"""Size-checked broadcasts and input spreading."""
 
 from __future__ import annotations
 
@@ -11,3 +11,12 @@ SMALL_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Mark a table for broadcasting if it is counted to be small; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work per row, when the input has fewer splits than cores.
+
+    A large input has more splits than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
-from threatloom.functions.expressions import empty_array, let
+from threatloom.functions.expressions import compute_once, empty_array, let
 from threatloom.functions.identifiers import named_id
 from threatloom.functions.patterns import java_regex
 from threatloom.functions.text import fold_case, strip_space
@@ -106,9 +106,8 @@ def bad_ipv4_ports(iocs: DataFrame) -> DataFrame:
 def with_observables(entries: DataFrame) -> DataFrame:
     """Add ``observables`` (in indicator order) and the distinct ``object_refs`` of each entry."""
     built = F.flatten(F.transform("iocs", lambda x: observables(x["kind"], x["value"])))
-    return entries.withColumn("observables", built).withColumn(
-        "object_refs", F.array_distinct(F.transform("observables", lambda o: o["id"]))
-    )
+    refs = F.array_distinct(F.transform("observables", lambda o: o["id"]))
+    return compute_once(entries, observables=built).withColumn("object_refs", refs)
 
 
 def stix_time(ts: Column, at_least: int) -> Column:

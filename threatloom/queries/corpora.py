@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
+from threatloom.operators.joins import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table each row of which means much work."""
+    return spread(table(spark, sf_dir, name))
+
+
 _K, _C = "o_orderkey", "o_custkey"
 _SUFFIX = (
     f"CASE {_K} % 8 WHEN 0 THEN 'com' WHEN 1 THEN 'net' WHEN 2 THEN 'example' WHEN 3 THEN 'local' "
@@ -72,7 +78,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(re.sub(r"sha256\((.*)\)\Z", r"sha2(\1, 256)", expression)).alias(name)
         for name, expression in VALUES.items()
     ]
-    orders = table(spark, sf_dir, "orders")
+    orders = wide_table(spark, sf_dir, "orders")
     return orders.select(
         *chosen, F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("dated"), F.col("o_totalprice").alias("price")
     )

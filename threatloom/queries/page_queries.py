@@ -24,7 +24,7 @@ def _texts() -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.parse_html(C.table(spark, sf_dir, "pages"), "html")
+    return H.parse_html(C.wide_table(spark, sf_dir, "pages"), "html")
 
 
 def _with(ctes: str, select: str) -> str:
@@ -37,7 +37,7 @@ def _with(ctes: str, select: str) -> str:
     "'<script>.*?</script>', '<script>', 'g'), '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag",
 )
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = H.html_nodes(C.table(spark, sf_dir, "pages"), "page_id", "html")
+    nodes = H.html_nodes(C.wide_table(spark, sf_dir, "pages"), "page_id", "html")
     return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,7 +14,7 @@ from threatloom.queries.catalog import query
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and one note per order: id, text."""
-    documents = C.table(spark, sf_dir, "documents")
+    documents = C.wide_table(spark, sf_dir, "documents")
     notes = C.indicators(spark, sf_dir)
     return documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionAll(
         notes.select(F.concat(F.lit("o"), F.col("k").cast("string")).alias("id"), F.expr(Q.NOTE).alias("text"))
