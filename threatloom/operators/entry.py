@@ -54,12 +54,13 @@ def entry_container(elements: Column, texts: Column, profile: str) -> Column:
     def inside_article(article: Column) -> Column:
         candidates = [H.first_or_null(H.select_within(elements, article, s)) for s in selectors]
 
-        def choose(found: Column) -> Column:
-            sectioned = F.filter(found, lambda e: ioc_heading(elements, texts, e, V.S1).isNotNull())
-            filled = F.filter(found, lambda e: H.heading_text(texts, e) != "")
-            return F.coalesce(H.first_or_null(sectioned), H.first_or_null(filled), article)
-
-        return F.when(article.isNotNull(), let(F.array_distinct(F.array_compact(F.array(*candidates))), choose))
+        # Tried one after the other, and the search for a section only where the article holds one.
+        sectioned = F.coalesce(
+            *[let(c, lambda e: F.when(ioc_heading(elements, texts, e, V.S1).isNotNull(), e)) for c in candidates]
+        )
+        has_section = ioc_heading(elements, texts, article, V.S1).isNotNull()
+        found = F.coalesce(F.when(has_section, sectioned), _first_with_text(texts, candidates), article)
+        return F.when(article.isNotNull(), found)
 
     return let(entry_article(elements), inside_article)
 
