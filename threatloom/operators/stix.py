@@ -21,6 +21,7 @@ OBSERVABLE = (
     f"struct<type:string,spec_version:string,id:string,hashes:{_HASHES},observable_type:string,"
     "dst_ref:string,dst_port:int,protocols:array<string>,value:string>"
 )
+_PLACES = 1 << 31  # more places than an array can have
 _IP_AND_PORT = r"\A(" + java_regex(V.IPV4.removeprefix(r"\b").removesuffix(r"\b")) + "):(" + java_regex(
     V.IPV4_PORT[V.IPV4_PORT.index(":(?:") + 1 :].removesuffix(r"\b")
 ) + r")\z"
@@ -179,13 +180,29 @@ def reports(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def dedup_objects(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Observables of a bundle, each once, with the place it was first seen at.
 
-    Equal ids have equal content, so the least place carries the right object and one partial aggregation
-    does it.
+    Equal ids have equal content, so the content can be grouped by and only the least place is aggregated:
+    one number, which a hash aggregation combines on the map side without sorting the objects.
     """
     keys = keys or ["source_name"]
     placed = entries.select(*keys, "entry_ord", F.posexplode("observables").alias("place", "o"))
-    least = F.min(F.struct("entry_ord", "place", F.col("o.type").alias("type"), F.to_json("o").alias("json")))
-    return placed.groupBy(*keys, F.col("o.id").alias("id")).agg(least.alias("first")).select(*keys, "id", "first.*")
+    order = F.col("entry_ord").cast("decimal(38,0)") * F.lit(_PLACES) + F.col("place")
+    rows = placed.select(
+        *keys,
+        F.col("o.id").alias("id"),
+        F.col("o.type").alias("type"),
+        F.to_json("o").alias("json"),
+        order.cast("decimal(38,0)").alias("order"),
+    )
+    least = rows.groupBy(*keys, "id", "type", "json").agg(F.min("order").alias("order"))
+    place = F.pmod(F.col("order"), F.lit(_PLACES).cast("decimal(38,0)"))
+    return least.select(
+        *keys,
+        "id",
+        ((F.col("order") - place) / F.lit(_PLACES)).cast("long").alias("entry_ord"),
+        place.cast("int").alias("place"),
+        "type",
+        "json",
+    )
 
 
 def _json(stix_type: str, fields: list[str]) -> Column:
