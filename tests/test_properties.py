@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threatloom import fixed_values as V
 from threatloom.functions import identifiers, ioc, rules, text, url
 
-FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 PIECES = [
     "1.2.3.4", "255.1.1.1", "256.1.1.1", "01.2.3.4", "1.2.3.4:80", "10.0.0.1:65535", "٣.1.1.1", "evil.example", "-bad.example",
     "a.b", "a..b", "x" * 64 + ".org", "hxxp://", "hxxps://", "https://", "http://evil.example/a?b=c", "[.]", "(.)", "[:]//", "［.］",
