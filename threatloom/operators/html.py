@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from threatloom import fixed_values as V
 from threatloom.functions.expressions import let
 from threatloom.functions.text import normalize_text
+from threatloom.session import ship_package
 
 # id and last: preorder number of the element and of the last element inside it; parent 0 is the page.
 # first_text and text_count: its slice of ``texts`` (1-based). text_before: visible or hidden text stands
@@ -213,6 +214,7 @@ def parse_html(df: DataFrame, html: str, drop_html: bool = True) -> DataFrame:
                     kept + _page_columns(part.column(html).to_pylist()), [*carried, "elements", "texts", "html_error"]
                 )
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(parse, f"{schema}, {NODE_COLUMNS}")
 
 

@@ -12,6 +12,7 @@ from threatloom import fixed_values as V
 from threatloom import schemas
 from threatloom.functions.text import strip_space
 from threatloom.functions.url import is_http_url
+from threatloom.session import ship_package
 
 _UTF8_NAMES = ("", "utf-8", "utf8", "utf_8")
 _LATIN1_NAMES = ("latin-1", "latin1", "iso-8859-1", "iso8859-1", "l1")
@@ -51,6 +52,7 @@ def to_utf8(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "data", "decode_error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    ship_package(pages.sparkSession)
     rare = pages.filter(~native).mapInArrow(decode, f"{schema}, data binary, decode_error string")
     return plain.unionByName(rare)
 
