@@ -96,17 +96,19 @@ def settled(keys: np.ndarray, holders: np.ndarray, buckets: int, everyone: bool)
     yield _rows(number[order], keys[order], holders[order], (several & everyone)[order])
 
 
-def _by_holder(keys: np.ndarray, holders: np.ndarray, names: list[str]) -> pa.Table:
-    order = np.argsort(holders, kind="stable")
-    keys, holders = keys[order], holders[order]
-    bounds = runs(holders)
-    return pa.Table.from_arrays([pa.array(holders[bounds[:-1]], pa.int64()), packed(keys, bounds)], names=names)
+def _dealt(keys: np.ndarray, holders: np.ndarray, parts: int, *more: np.ndarray) -> list[pa.Array]:
+    """Columns of one row for each part of the holders; so rows don't multiply with the buckets a holder occurs in."""
+    part = holders % parts
+    order = np.lexsort((holders, part))
+    bounds = runs(part[order])
+    columns = [packed(x[order], bounds) for x in (keys, holders, *more)]
+    return [pa.array(part[order][bounds[:-1]], pa.int64()), *columns]
 
 
 def shared(df: DataFrame, entries: Callable[[pa.RecordBatch], Entries], buckets: int, everyone: bool, width: int = 1) -> DataFrame:
-    """(holder, keys) rows, several a holder: its keys that others hold too.
+    """(holder, keys binary), one row a holder: its distinct keys that others hold too.
 
-    everyone: all holders of such keys; otherwise all but the least holder of each.
+    everyone: all holders of such keys; otherwise all but the least holder of each. A holder's list is at most as long as its text.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +128,83 @@ def shared(df: DataFrame, entries: Callable[[pa.RecordBatch], Entries], buckets:
             else:
                 keep = holders != np.repeat(holders[bounds[:-1]], lengths)
             keys, holders = keys[keep], holders[keep]
-        return _by_holder(keys, holders, ["holder", "keys"])
+        return pa.Table.from_arrays(_dealt(keys, holders, buckets), names=["part", "keys", "holders"])
 
-    return df.mapInArrow(make, ENTRIES).groupBy("bucket").applyInArrow(resolve, "holder long, keys binary")
+    def collect(table: pa.Table) -> pa.Table:
+        holders, keys = unpacked(table["holders"], np.int64), unpacked(table["keys"], width=width)
+        order = np.lexsort((*(keys.T[::-1] if width > 1 else (keys,)), holders))
+        holders, keys = holders[order], keys[order]
+        new = runs(holders, keys)[:-1]
+        holders, keys = holders[new], keys[new]
+        bounds = runs(holders)
+        return pa.Table.from_arrays([pa.array(holders[bounds[:-1]], pa.int64()), packed(keys, bounds)], names=["holder", "keys"])
+
+    met = df.mapInArrow(make, ENTRIES).groupBy("bucket").applyInArrow(resolve, "part long, keys binary, holders binary")
+    return met.groupBy("part").applyInArrow(collect, "holder long, keys binary")
+
+
+def tallies(df: DataFrame, entries: Callable[[pa.RecordBatch], Entries], buckets: int, most: int) -> DataFrame:
+    """(a, b, n): n keys of at most ``most`` holders that a < b have in common; (a, a, n): n keys of a that have more holders.
+
+    Holders of a key must be distinct over all batches. A key with more than ``most`` holders in a batch is
+    counted there, and only most + 1 of them go on to tell the other batches.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, holders = entries(batch)
+            if not len(keys):
+                continue
+            keys, holders = _sorted(keys, holders)
+            bounds = runs(keys)
+            lengths = np.diff(bounds)
+            many = np.repeat(lengths > most, lengths)
+            if many.any():
+                names, counts = np.unique(holders[many], return_counts=True)
+                part = names % buckets
+                order = np.argsort(part, kind="stable")
+                number = -1 - part[order]
+                edges = runs(number)
+                columns = [packed(x, edges) for x in (names[order].astype(np.uint64), names[order], counts[order].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]]), *columns], names=["bucket", "keys", "holders", "known"])
+            sent = np.arange(len(keys)) - np.repeat(bounds[:-1], lengths) <= most
+            number = _bucket_of(keys[sent], buckets)
+            edges = runs(number)
+            columns = [packed(x, edges) for x in (keys[sent], holders[sent], many[sent].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]]), *columns], names=["bucket", "keys", "holders", "known"])
+
+    def resolve(table: pa.Table) -> pa.Table:
+        keys, holders, known = unpacked(table["keys"]), unpacked(table["holders"], np.int64), unpacked(table["known"], np.int64)
+        if table["bucket"][0].as_py() < 0:
+            a, b, n = holders, keys.astype(np.int64), known
+        else:
+            keys, holders, known = _sorted(keys, holders, known)
+            bounds = runs(keys)
+            lengths = np.diff(bounds)
+            many = np.repeat(lengths > most, lengths) & (known == 0)
+            first, second = [holders[many]], [holders[many]]
+            for size in range(2, most + 1):
+                group = holders[bounds[:-1][lengths == size][:, None] + np.arange(size)]
+                x, y = np.triu_indices(size, 1)
+                first.append(group[:, x].ravel())
+                second.append(group[:, y].ravel())
+            a, b = np.concatenate(first), np.concatenate(second)
+            a, b, n = _summed(a, b, np.ones(len(a), dtype=np.int64))
+        return pa.Table.from_arrays(_dealt(b, a, buckets, n), names=["part", "b", "a", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        a, b, n = _summed(*(unpacked(table[name], np.int64) for name in ("a", "b", "n")))
+        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+
+    met = df.mapInArrow(make, ENTRIES).groupBy("bucket").applyInArrow(resolve, "part long, b binary, a binary, n binary")
+    return met.groupBy("part").applyInArrow(add, "a long, b long, n long")
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    bounds = runs(a, b)
+    return a[bounds[:-1]], b[bounds[:-1]], np.add.reduceat(n, bounds[:-1]) if len(n) else n
 
 
 def links(df: DataFrame, entries: Callable[[pa.RecordBatch], Entries], buckets: int) -> DataFrame:
@@ -170,8 +246,3 @@ def star_pairs(keys: np.ndarray, holders: np.ndarray) -> np.ndarray:
     apart = least != holders
     pairs = np.stack([holders[apart], least[apart]], axis=1).astype(np.int64)
     return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
-
-
-def gathered(rows: DataFrame) -> DataFrame:
-    """(holder, keys array<binary>): the rows of shared() put together; a holder's list is at most its own text."""
-    return rows.groupBy("holder").agg(F.collect_list("keys").alias("keys"))

@@ -12,7 +12,6 @@ judged against smaller ids and within itself. A row without doc_id is judged wit
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ WINDOW = 20
 ANCHOR = 10
 _SECOND = 0xD1342543DE82EF95
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,last:int>>, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string"
 
 
 def _window_places(chunk: Chunk, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +86,7 @@ def _placements(window: int, anchor: int):
             for row in range(chunk.rows):
                 lo, hi = bounds[row], bounds[row + 1]
                 if hi > lo and lists[chunk.first + row].is_valid:
-                    hot = np.isin(seeds[lo:hi], meet.unpacked(lists[chunk.first + row].values))
+                    hot = np.isin(seeds[lo:hi], np.frombuffer(lists[chunk.first + row].as_buffer(), dtype=np.uint64))
                     keys.append(both[lo:hi][hot])
                     holders.append(np.full(len(keys[-1]), ids[chunk.first + row]))
         return _joined(keys, 2), _joined(holders).astype(np.int64)
@@ -95,44 +94,65 @@ def _placements(window: int, anchor: int):
     return entries
 
 
+def _found(mine: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which of the hash pairs are among ``earlier``, which is in ascending order."""
+    place = np.searchsorted(earlier[:, 0], mine[:, 0])
+    found = np.zeros(len(mine), dtype=bool)
+    open_ = np.arange(len(mine))
+    while len(open_):  # more than once only for equal first hashes
+        open_ = open_[place[open_] < len(earlier)]
+        open_ = open_[earlier[place[open_], 0] == mine[open_, 0]]
+        same = earlier[place[open_], 1] == mine[open_, 1]
+        found[open_[same]] = True
+        open_ = open_[~same]
+        place[open_] += 1
+    return found
+
+
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("keys")
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "removed", "kept")}
+            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "removed", "kept")}
             for chunk in chunks(batch.column("text"), SPACED):
                 n = len(chunk.hashes) - window + 1
                 places = np.flatnonzero(inside(chunk.bounds, window, n)) if n > 0 else np.zeros(0, dtype=np.int64)
                 both = _both(chunk.hashes, window, places) if n > 0 else np.zeros((0, 2), dtype=np.uint64)
                 rows = chunk.row_of_word()[places] if len(places) else places
+                order = np.lexsort((both[:, 1], both[:, 0], rows))
+                repeated = np.ones(len(places), dtype=bool)
+                repeated[order[meet.runs(rows[order], both[order])[:-1]]] = False
                 bounds = np.searchsorted(rows, np.arange(chunk.rows + 1))
+                for row in range(chunk.rows):
+                    mine = slice(bounds[row], bounds[row + 1])
+                    if mine.stop > mine.start and lists[chunk.first + row].is_valid:
+                        earlier = np.frombuffer(lists[chunk.first + row].as_buffer(), dtype=np.uint64).reshape(-1, 2)
+                        repeated[mine] |= _found(both[mine], earlier)
+                gone = covered(len(chunk.hashes), places[repeated], window)
                 raw = chunk.data.tobytes()
+                text_bounds, at = chunk.offsets.tolist(), chunk.bounds.tolist()
+                removed_before = np.concatenate([[0], np.cumsum(gone)])
                 for row in range(chunk.rows):
-                    lo, hi = bounds[row], bounds[row + 1]
-                    begin, end = chunk.bounds[row], chunk.bounds[row + 1]
-                    mine = both[lo:hi]
-                    repeated = np.ones(hi - lo, dtype=bool)
-                    if hi > lo:
-                        repeated[np.unique(mine, axis=0, return_index=True)[1]] = False
-                        if lists[chunk.first + row].is_valid:
-                            earlier = meet.unpacked(lists[chunk.first + row].values, width=2)
-                            named = np.ascontiguousarray(mine).view("u8,u8").ravel()
-                            repeated |= np.isin(named, np.ascontiguousarray(earlier).view("u8,u8").ravel())
-                    gone = covered(end - begin, places[lo:hi][repeated] - begin, window)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    left = np.flatnonzero(~gone) + begin
-                    kept = b" ".join([raw[a:b] for a, b in zip(chunk.starts[left].tolist(), chunk.ends[left].tolist(), strict=True)])
-                    out["n_words"].append(int(end - begin))
-                    out["n_removed"].append(int(gone.sum()))
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["removed"].append([{"first": int(a), "last": int(b) - 1} for a, b in edges.reshape(-1, 2)])
+                    begin, end = at[row], at[row + 1]
+                    many = int(removed_before[end] - removed_before[begin])
+                    spans: list[dict[str, int]] = []
+                    if many:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[begin:end].astype(np.int8), [0]])))
+                        spans = [{"first": a, "last": b - 1} for a, b in edges.reshape(-1, 2).tolist()]
+                        left = np.flatnonzero(~gone[begin:end]) + begin
+                        words = zip(chunk.starts[left].tolist(), chunk.ends[left].tolist(), strict=True)
+                        kept = b" ".join([raw[a:b] for a, b in words])
+                    else:  # bytes.split knows the same white space
+                        kept = b" ".join(raw[text_bounds[row] : text_bounds[row + 1]].split())
+                    out["n_words"].append(end - begin)
+                    out["n_removed"].append(many)
+                    out["removed"].append(spans)
                     out["kept"].append(kept.decode())
-            spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
-                 pa.array(out["kept_sha256"], pa.string()), pa.array(out["removed"], spans), pa.array(out["kept"], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"],
-            )
+            spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "removed": spans_type, "kept": pa.string()}
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column("doc_id")} | {name: pa.array(values, kinds[name]) for name, values in out.items()}
+            )
 
     return finish
 
@@ -149,12 +169,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     # A text of n bytes has about n / 6.5 words and a sixth of them are anchors.
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = meet.bucket_count(size // 30)
-    seeds = meet.gathered(meet.shared(named, _seeds(window, anchor), buckets, everyone=True))
+    seeds = meet.shared(named, _seeds(window, anchor), buckets, everyone=True)
     seeds = seeds.withColumnRenamed("holder", "doc_id")
     seeded = maybe_in(named, "doc_id", seeds.select("doc_id")).where("maybe").drop("maybe").join(seeds, "doc_id")
-    marks = meet.gathered(meet.shared(seeded, _placements(window, anchor), buckets, everyone=False, width=2))
+    marks = meet.shared(seeded, _placements(window, anchor), buckets, everyone=False, width=2)
     marks = marks.withColumnRenamed("holder", "doc_id")
     told = maybe_in(docs, "doc_id", marks.select("doc_id"))
-    alone = told.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("keys"))
+    alone = told.where("not maybe").select("doc_id", "text", F.lit(None).cast("binary").alias("keys"))
     marked = told.where("maybe").select("doc_id", "text").join(marks, "doc_id", "left")
     return alone.unionByName(marked).mapInArrow(_finish(window), RESULT)
