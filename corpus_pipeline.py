@@ -6,12 +6,62 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threatloom.llm import decontamination, ngram_join, packing, pii, quality_classifier
+from threatloom.llm.queries import tokenizer_path
 from threatloom.session import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = ("lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(docs, labels, keep=OTHERS).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id; rows without doc_id stand in no group and stay."""
+    least = ngram_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; one that was nothing else goes."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.scan_benchmark(docs, benchmark, keep=OTHERS).where("n_hit = 0 or n_hit < n_words")
+    return _with_text(found, "clean_text", F.col("n_hit") > 0)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the names of its kinds."""
+    return _with_text(pii.find_personal_data(docs, keep=OTHERS), "masked", F.col("spans") != "")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+def _with_text(found: DataFrame, text: str, changed) -> DataFrame:
+    chars = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"n_chars": chars, "text": F.when(changed, F.col(text)).otherwise(F.col("text"))}).select(*COLUMNS)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("best-fit packing", pack),
+]
+#: SQL can express neither the trained models nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontamination, ngram_join, packing, pii, quality_classifier, sharding, substring_dedup
+from threatloom.llm import (
+    chat_repair,
+    decontamination,
+    html_content,
+    ngram_join,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +74,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents")).drop("text", "masked")
 
 
+@_query("op6_role_repair")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_roles(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op7_rule_cascade")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+    )
+
+
 @_query("op8_fm_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -70,6 +94,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n_items, "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@_query("op9_tree_model_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract_content(_table(spark, sf_dir, "pages"))
+
+
 @_query("op10_prefix_tree_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
