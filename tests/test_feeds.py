@@ -352,3 +352,11 @@ def test_checkpoint_folder_comes_from_the_session():
                 return "s3://shared/checkpoints" if key == "spark.checkpoint.dir" else default
 
     assert session.checkpoint_folder(Stub) == "s3://shared/checkpoints"
+
+
+def test_empty_registry_is_no_error(spark):
+    from threatloom.sources.registry import parse_registry
+
+    documents = spark.createDataFrame([("list", "[]"), ("object", '{"sources": []}'), ("neither", "{}")], "name string, value string")
+    rows = parse_registry(documents.withColumnRenamed("name", "file")).collect()
+    assert [(r.file, r.load_error) for r in rows] == [("neither", "no list of sources")]

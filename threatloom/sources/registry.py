@@ -17,13 +17,15 @@ PROFILES = (V.S1, V.SL, V.PP)
 def parse_registry(documents: DataFrame, value: str = "value") -> DataFrame:
     """Feeds of registry documents: a JSON list, or an object with a ``sources`` list.
 
-    ``row_no`` counts from 1 within a document; a document that is neither keeps one row with ``load_error``.
+    ``row_no`` counts from 1 within a document; a document that is neither keeps one row with ``load_error``. An empty
+    list has no feeds, which is no error.
     """
     as_list = F.from_json(value, f"array<{schemas.SOURCE}>")
     as_object = F.from_json(value, f"struct<sources:array<{schemas.SOURCE}>>")["sources"]
     is_list = F.ltrim(F.regexp_replace(F.col(value), r"\A\s+", "")).startswith("[")
     kept = [c for c in documents.columns if c != value]
     rows = documents.select(*kept, F.when(is_list, as_list).otherwise(as_object).alias("_sources"))
+    rows = rows.where(F.col("_sources").isNull() | (F.size("_sources") > 0))
     exploded = rows.select(*kept, F.posexplode_outer("_sources").alias("_pos", "s"))
     return exploded.select(
         *kept,
