@@ -31,18 +31,6 @@ def split_url(c: Column) -> Column:
     return let(F.split(joined, "\n"), parts)
 
 
-def url_host(c: Column) -> Column:
-    """Lower-cased host without user info and port; empty when there is none."""
-
-    def host(netloc: Column) -> Column:
-        address = F.regexp_extract(netloc, r"(?s)\A(?:.*@)?(.*)\z", 1)
-        plain = F.regexp_extract(address, r"(?s)\A([^:]*)", 1)
-        bracketed = F.regexp_extract(address, r"(?s)\[([^\]]*)", 1)
-        return F.lower(F.when(F.contains(address, F.lit("[")), bracketed).otherwise(plain))
-
-    return let(split_url(c)["netloc"], host)
-
-
 def _has_bad_brackets(netloc: Column) -> Column:
     return F.contains(netloc, F.lit("[")) != F.contains(netloc, F.lit("]"))
 
