@@ -20,45 +20,43 @@ from threatloom.llm.common import documents
 SAMPLE_ROWS = 2_000
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_UPPER = "A-Z"
 _GRAM = 5
 
 
-def _without(text: Column, signs: str) -> Column:
-    return F.length(F.translate(text, signs, ""))
+def _count(text: Column, signs: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{signs}]"))
 
 
 def with_metrics(df: DataFrame, *keep: str) -> DataFrame:
     """n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of every row, without a shuffle."""
     docs = documents(df, *keep).withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
-    words = F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
-    lines = F.filter(F.split(text, "\n"), lambda line: _without(line, _SPACES) > 0)
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit(_SPACES)) != "")
     docs = compute_once(docs, words=words, lines=lines)
-    count = F.size("words")
-    gram = F.transform(
-        F.sequence(F.lit(0), count - _GRAM), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(_GRAM)])
-    )
+    # Each word is hashed once; a window is the hash of its words' hashes.
+    docs = compute_once(
+        docs, hashes=F.transform("words", lambda word: F.xxhash64(word)), word_chars=F.length(F.array_join("words", "")).cast("long")
+    ).drop("words")
+    count = F.size("hashes")
+    follow = F.arrays_zip(*[F.slice("hashes", k + 1, F.greatest(count, F.lit(1))).alias(f"w{k}") for k in range(_GRAM)])
+    gram = F.transform(F.slice(follow, F.lit(1), F.greatest(count - _GRAM + 1, F.lit(0))), lambda window: F.xxhash64(window))
     docs = compute_once(docs, grams=F.when(count >= _GRAM, gram).otherwise(F.array().cast("array<long>")))
-    placed = F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    placed = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     again = F.size(F.array_distinct("grams")) < F.size("grams")
     docs = compute_once(docs, placed=F.when(again, placed).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
-    held = F.transform(
-        "placed",
-        lambda item, j: F.when(
-            F.coalesce(item["g"] == F.get("placed", j - 1)["g"], F.lit(False)) | F.coalesce(item["g"] == F.get("placed", j + 1)["g"], F.lit(False)),
-            item["i"],
-        ),
-    )
-    docs = compute_once(docs, starts=F.array_sort(F.filter(held, lambda i: i.isNotNull())))
+    size = F.greatest(F.size("placed"), F.lit(1))
+    before = F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice("placed", F.lit(1), size - 1))
+    near = F.arrays_zip(F.col("placed").alias("own"), before.alias("before"), F.slice("placed", F.lit(2), size).alias("after"))
+    twice = lambda t: F.coalesce(t["own"]["g"] == t["before"]["g"], F.lit(False)) | F.coalesce(t["own"]["g"] == t["after"]["g"], F.lit(False))
+    held = F.sort_array(F.transform(F.filter(near, twice), lambda t: t["own"]["i"]))
+    docs = compute_once(docs, starts=F.when(F.size("placed") > 0, held).otherwise(F.array().cast("array<int>")))
     # Words under windows that start at s and next at t: all five, or as many as lie before t.
-    covered = F.aggregate(
-        F.transform("starts", lambda s, k: F.least(F.lit(_GRAM), F.coalesce(F.get("starts", k + 1) - s, F.lit(_GRAM)))),
-        F.lit(0).cast("long"), lambda total, more: total + more,
-    )
+    apart = F.zip_with("starts", F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))), lambda s, t: F.least(F.lit(_GRAM), F.coalesce(t - s, F.lit(_GRAM))))
+    covered = F.aggregate(apart, F.lit(0).cast("long"), lambda total, more: total + more)
     return compute_once(
-        docs, n_words=count.cast("long"), word_chars=_without(text, _SPACES).cast("long"),
-        n_symbols=(F.length(text) - _without(text, _SYMBOLS)).cast("long"), n_lines=F.size("lines").cast("long"),
+        docs, n_words=count.cast("long"), n_symbols=_count(text, _SYMBOLS).cast("long"), n_lines=F.size("lines").cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), n_repeat_words=covered,
     ).drop("grams", "placed", "starts", "lines")
 
@@ -70,11 +68,11 @@ def base_failed() -> Column:
 def default_rules() -> dict[str, Column]:
     """When a document fails; on the columns of with_metrics()."""
     text, chars = F.col("text"), F.col("word_chars")
-    distinct = F.size(F.array_distinct("words"))
+    distinct = F.size(F.array_distinct("hashes"))
     return {
         "symbols": 100 * F.col("n_symbols") > 10 * chars,
-        "capitals": 2 * (F.length(text) - _without(text, _UPPER)) > chars,
-        "marks": 100 * (F.length(text) - _without(text, "!?")) > 10 * chars,
+        "capitals": 2 * _count(text, _UPPER) > chars,
+        "marks": 100 * _count(text, "!?") > 10 * chars,
         "word_length": (chars > 25 * F.col("n_words")) | (chars < 2 * F.col("n_words")),
         "repeated_lines": 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"),
         "few_distinct_words": (F.col("n_words") >= 50) & (10 * distinct < F.col("n_words")),
@@ -111,4 +109,4 @@ def judge(df: DataFrame, rules: dict[str, Column] | None = None, sample_rows: in
     order = ordered(df, rules, sample_rows)
     docs = with_metrics(df, *keep).withColumn("base_failed", base_failed())
     docs = docs.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(rules, order)))
-    return docs.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("words", "n_lines")
+    return docs.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("hashes", "n_lines")
