@@ -274,6 +274,19 @@ def test_stream_equals_replay(spark, tmp_path):
         N.stream_new_entries(stream, str(tmp_path / "out")).awaitTermination()
     got = {tuple(r) for r in N.read_new_entries(spark, str(tmp_path / "out")).collect()}
     assert got == brute_replay(history)[1]
+    assert N.read_late_entries(spark, str(tmp_path / "out")).count() == 0
+    late = {(source, min(times) - dt.timedelta(days=1), "https://late.org/1") for source in {s for s, _ in history}}
+    spark.createDataFrame(sorted(late), "source_name string, collected_at timestamp, publication_url string").coalesce(1).write.mode("append").parquet(str(landing))
+    stream = spark.readStream.schema("source_name string, collected_at timestamp, publication_url string").parquet(str(landing))
+    N.stream_new_entries(stream, str(tmp_path / "out")).awaitTermination()
+    assert {tuple(r) for r in N.read_new_entries(spark, str(tmp_path / "out")).collect()} == got
+    assert {tuple(r) for r in N.read_late_entries(spark, str(tmp_path / "out")).collect()} == late
+
+
+def test_one_page_per_url(spark):
+    new = spark.createDataFrame([("A", "u1"), ("A", "u2"), ("B", "u1")], "source_name string, publication_url string")
+    pages = spark.createDataFrame([("u1", "old", 1), ("u1", "new", 2), ("u1", "new", 2), ("u3", "x", 1)], "url string, content string, landed_at int")
+    assert sorted((r.source_name, r.publication_url, r.content) for r in I.match_entries(new, pages).collect()) == [("A", "u1", "new"), ("B", "u1", "new")]
 
 
 # ---------------------------------------------------------------- registry, snapshots, runs

@@ -147,9 +147,21 @@ def compact_snapshots(snapshots: DataFrame, replayed: DataFrame) -> DataFrame:
     return snapshots.join(redundant, ["source_name", "collected_at"], "left_anti")
 
 
+def one_page_per_url(landed: DataFrame) -> DataFrame:
+    """The page of each URL that landed last by ``landed_at``, if there is such a column; ties go to the largest hash of the row."""
+    own = [F.col(name) for name in landed.columns if name != "url"]
+    order = F.struct(*[F.col(name) for name in landed.columns if name == "landed_at"], F.xxhash64(*own))
+    return landed.groupBy("url").agg(F.max_by(F.struct(*own), order).alias("_page")).select("url", "_page.*")
+
+
 def match_entries(new_entries: DataFrame, landed: DataFrame) -> DataFrame:
-    """New entries with the landed page of their URL; the page's own columns come along."""
-    return new_entries.join(landed, new_entries["publication_url"] == landed["url"])
+    """New entries with one landed page of their URL; the page's own columns come along.
+
+    Pages are reduced to the new URLs before their bodies meet anything else.
+    """
+    wanted = new_entries.select(F.col("publication_url").alias("url")).distinct()
+    pages = one_page_per_url(landed.join(wanted, "url", "left_semi"))
+    return new_entries.join(pages, new_entries["publication_url"] == pages["url"])
 
 
 def missing_entries(new_entries: DataFrame, landed: DataFrame) -> DataFrame:

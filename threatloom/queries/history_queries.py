@@ -131,6 +131,19 @@ def match_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("source_name", shown("collected_at"), "publication_url", "content")
 
 
+@query(
+    "inc_04_latest_page",
+    f"SELECT source_name, {shown_sql('collected_at')}, publication_url, content FROM ({_NEW_SQL}) AS n "
+    f"JOIN ({_LANDED_SQL}) AS l ON l.url = n.publication_url",
+)
+def latest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that landed three times, the first time with another content, the last two times alike."""
+    landed = _landed(spark, sf_dir).withColumn("landed_at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))))
+    landed = landed.withColumn("content", F.when(F.col("landed_at") == 1, F.lit("old")).otherwise(F.col("content")))
+    matched = I.match_entries(_new_entries(spark, sf_dir), landed)
+    return matched.select("source_name", shown("collected_at"), "publication_url", "content")
+
+
 @query(
     "inc_05_missing_entries",
     f"SELECT source_name, {shown_sql('collected_at')}, publication_url FROM ({_NEW_SQL}) AS n "

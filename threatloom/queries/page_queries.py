@@ -217,12 +217,13 @@ def title_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "h_12_dedup_first",
     "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) AS ord, href FROM (SELECT page_id, href, "
-    "min(place) AS place FROM (SELECT page_id, generate_subscripts(hrefs, 1) AS place, lower(left(unnest(hrefs), 2)) AS href "
+    "min(place) AS place FROM (SELECT page_id, generate_subscripts(hrefs, 1) AS place, unnest(hrefs) AS href "
     "FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hrefs FROM pages)) GROUP BY page_id, href)",
 )
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links cut to their first letter, so that pages repeat them."""
-    rows = F.transform(H.select(_elements(), "a[href]"), lambda e: F.struct(F.lower(F.left(e["href"], F.lit(2))).alias("href")))
+    """Links of a page, each listed twice."""
+    links = H.select(_elements(), "a[href]")
+    rows = F.transform(F.concat(links, links), lambda e: F.struct(e["href"].alias("href")))
     found = _pages(spark, sf_dir).select("page_id", F.posexplode(X.dedup_first(rows, "href")).alias("pos", "r"))
     return found.select("page_id", (F.col("pos") + 1).alias("ord"), "r.href")
 

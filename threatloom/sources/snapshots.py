@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from threatloom import fixed_values as V
 from threatloom import schemas
@@ -27,34 +26,29 @@ def to_utf8(pages: DataFrame) -> DataFrame:
     """Decode ``content`` with its declared ``encoding`` (UTF-8 by default) into UTF-8 ``data``.
 
     Undecodable bytes become replacement characters. An unknown encoding gives null data and a
-    ``decode_error``. Only pages in rarer encodings visit Python.
+    ``decode_error``. One pass: only bytes of pages in rarer encodings are handed to Python, nulls for all others.
     """
     encoding = F.lower(F.coalesce("encoding", F.lit("")))
     native = encoding.isin(*_UTF8_NAMES, *_LATIN1_NAMES)
     text = F.when(encoding.isin(*_LATIN1_NAMES), F.decode("content", "ISO-8859-1")).otherwise(
         F.make_valid_utf8(F.col("content").cast("string"))
     )
-    plain = pages.filter(native).withColumn("data", F.encode(text, "UTF-8")).withColumn(
-        "decode_error", F.lit(None).cast("string")
-    )
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, errors = [], []
-            for content, name in zip(batch.column("content").to_pylist(), batch.column("encoding").to_pylist()):
-                try:
-                    data.append(content.decode(name, errors="replace").encode("utf-8"))
-                    errors.append(None)
-                except (LookupError, UnicodeError) as error:
-                    data.append(None)
-                    errors.append(str(error))
-            columns = [*batch.columns, pa.array(data, pa.binary()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "data", "decode_error"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    @F.pandas_udf("data binary, error string")
+    def decode(contents: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content, name in zip(contents, names):
+            try:
+                rows.append((None if content is None else bytes(content).decode(name, errors="replace").encode("utf-8"), None))
+            except (LookupError, UnicodeError) as error:
+                rows.append((None, str(error)))
+        return pd.DataFrame(rows, columns=["data", "error"])
+
     ship_package(pages.sparkSession)
-    rare = pages.filter(~native).mapInArrow(decode, f"{schema}, data binary, decode_error string")
-    return plain.unionByName(rare)
+    rare = pages.withColumn("_rare", decode(F.when(~native, F.col("content")), F.when(~native, F.col("encoding"))))
+    return rare.withColumns(
+        {"data": F.when(native, F.encode(text, "UTF-8")).otherwise(F.col("_rare.data")), "decode_error": F.col("_rare.error")}
+    ).drop("_rare")
 
 
 def with_sha256(df: DataFrame, data: str = "data") -> DataFrame:
@@ -122,11 +116,19 @@ def snapshot_name(collected_at: Column, sha256_hex: Column) -> Column:
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append snapshots as Parquet under source and kind.
+    """Append snapshots as Parquet under source and kind; those stored before are not stored again.
 
     The rebalance hint gathers a folder's rows into full files and splits a folder that is too large.
     """
     keyed = snapshots.withColumn("source_key", source_key(F.col("source_name")))
+    identity = ["source_key", "snapshot_kind", "collected_at", "sha256_hex"]
+    try:
+        stored = load_snapshots(snapshots.sparkSession, path).select(identity)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        keyed = keyed.join(stored, identity, "left_anti")
     balanced = keyed.hint("rebalance", "source_key", "snapshot_kind")
     balanced.write.mode("append").partitionBy("source_key", "snapshot_kind").parquet(path)
 

@@ -25,38 +25,35 @@ def _baselines(spark: SparkSession, folder: str, batch: int) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(f"{folder}/baselines/batch={batch - 1}")
 
 
-def replay_batch(entries: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new entries, baselines after the batch) of one batch of index entries.
+def replay_batch(entries: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new entries, baselines after the batch, late entries) of one batch of index entries.
 
-    Snapshots not newer than their source's baseline come too late and are left out.
+    Snapshots not newer than their source's baseline come too late to be replayed; their entries are the late ones.
     """
     known_at = baselines.groupBy("source_name").agg(F.max("collected_at").alias("known_at"))
-    on_time = (
-        entries.select(_COLUMNS)
-        .distinct()
-        .join(known_at, "source_name", "left")
-        .filter(F.col("known_at").isNull() | (F.col("collected_at") > F.col("known_at")))
-        .drop("known_at")
-    )
+    timed = entries.select(_COLUMNS).distinct().join(known_at, "source_name", "left")
+    in_time = F.col("known_at").isNull() | (F.col("collected_at") > F.col("known_at"))
+    on_time, late = timed.filter(in_time).drop("known_at"), timed.filter(~in_time).drop("known_at")
     history = baselines.withColumn("known", F.lit(True)).unionByName(on_time.withColumn("known", F.lit(False)))
     _, judged = replay_history(history)
     judged = checkpointed(judged)
     last_kept = judged.filter("kept").groupBy("source_name").agg(F.max("collected_at").alias("collected_at"))
     after = judged.join(last_kept, ["source_name", "collected_at"], "left_semi").select(_COLUMNS)
-    return judged.filter("is_new and not known").select(_COLUMNS), after
+    return judged.filter("is_new and not known").select(_COLUMNS), after, late.select(_COLUMNS)
 
 
 def stream_new_entries(entries: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Start writing the new entries of a stream of (source_name, collected_at, publication_url).
 
-    A snapshot's rows must arrive in one batch, as when each file holds whole snapshots.
+    A snapshot's rows must arrive in one batch, as when each file holds whole snapshots. Late ones go to a table of their own.
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new, after = replay_batch(batch, _baselines(spark, folder, number))
+        new, after, late = replay_batch(batch, _baselines(spark, folder, number))
         new.write.mode("overwrite").parquet(f"{folder}/new_entries/batch={number}")
         after.write.mode("overwrite").parquet(f"{folder}/baselines/batch={number}")
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
 
     writer = entries.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{folder}/progress")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -64,3 +61,8 @@ def stream_new_entries(entries: DataFrame, folder: str, **trigger) -> StreamingQ
 
 def read_new_entries(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(_SCHEMA).parquet(f"{folder}/new_entries")
+
+
+def read_late_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of snapshots that arrived after a newer one of their source had been kept."""
+    return spark.read.option("recursiveFileLookup", "true").schema(_SCHEMA).parquet(f"{folder}/late")
