@@ -90,3 +90,33 @@ def test_parts_of_a_long_conversation_join(spark, tmp_path):
     assert got[1].count("<|end|>") == got[1].count("<|user|>") + got[1].count("<|assistant|>") + got[1].count("<|system|>")
     assert abs(len(got[1]) - len(expected)) < 2_000
     assert chat_repair.repair_roles(df.limit(0)).count() == 0
+
+
+_ARTICLE = "<article><h1>Title of it</h1><p>Whole article of some words, and more of them.</p><p>It ends here.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><body>" + _ARTICLE,
+        "<html><head><meta charset=x><script>'<p>no</p>'</script>" + _ARTICLE + "<script>'</head>'</script>",
+        "<html><head><title>t</title></head><body><svg class=i/>" + _ARTICLE + "<svg><text>no</text></svg>",
+        "<math/>" + _ARTICLE,
+        "<svg><path d=x>" + _ARTICLE + "<svg><g><svg><text>no</text></svg></g><text>no</text></svg>",
+        "<svg><foreignObject><p>no</p></foreignObject><title>no</title><desc/></svg>" + _ARTICLE,
+        "<object data=x>" + _ARTICLE + "<object>no</object>",
+        "<noscript>" + _ARTICLE,
+        "<iframe src=x />" + _ARTICLE + "<iframe>no</iframe>",
+        "<form><select><option>no<option>no</form>" + _ARTICLE + "<select><option>no</option></select>",
+        _ARTICLE + "<script>open <p>no</p>",
+        _ARTICLE + "<!-- open <p>no</p>",
+    ],
+)
+def test_unclosed_elements_keep_the_page(weights, page):
+    assert html_content.main_text(page, weights) == "Title of it\n\nWhole article of some words, and more of them.\n\nIt ends here."
+    assert "no" not in [n.text[0] for n in html_content.parse(page) if n.text]
+
+
+def test_links_with_an_unclosed_icon():
+    nodes = html_content.parse("<a href=x><svg><a><path></a><path d=y></a>Text behind</p>")
+    assert [n.text[0] for n in nodes if n.text] == ["Text behind"]

@@ -29,7 +29,18 @@ ROUNDS = 25
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head", "title", "object", "canvas", "math")
+#: Elements without text to read; those that reach to the end of the page if they are not closed come first.
+_REACHING = ("script", "style", "textarea", "title")
+_HOLDING = frozenset("noscript template svg iframe select object canvas math".split())
+_FOREIGN = frozenset(("svg", "math"))
+#: Where svg and math hold HTML again, and the HTML that ends them elsewhere.
+_INTEGRATED = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_BREAKS = frozenset(
+    "address article aside b big blockquote body br center code dd details div dl dt em embed fieldset figcaption figure font footer form"
+    " h1 h2 h3 h4 h5 h6 header hr i img input li listing main menu meta nav nobr ol p pre ruby s section small span strike strong"
+    " sub sup table tbody td th tr tt u ul var".split()
+)
+_IN_SELECT = frozenset(("option", "optgroup", "hr"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Inline elements are part of their block; everything else begins a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -55,11 +66,74 @@ class Node:
 
 
 def _cut_raw(page: str) -> str:
-    """The page without elements that never hold text to read; an open one reaches to the end."""
-    return _RAW_ELEMENT.sub(" ", page)
+    """The page without elements that never hold text to read.
+
+    Script, style, textarea and title reach to their closing tag or the end of the page. Of other elements an open one loses its
+    tag only, and svg, math and select end where a tag can't stand in them. What a head holds besides these is page, as in browsers.
+    """
+    cuts: list[tuple[int, int]] = []
+    held: list[_Open] = []
+    many = dict.fromkeys((*_HOLDING, *_INTEGRATED), 0)  # of each tag in held
+    at = 0
+    while match := _TAG.search(page, at):
+        start, at = match.span()
+        closing, tag, rest = match.groups()
+        tag = (tag or "").lower()
+        empty = (rest or "").endswith("/")
+        top = held[-1] if held else None
+        foreign = top is not None and top.tag in _FOREIGN
+        if not tag or tag == "head":
+            cuts.append((start, at))
+        elif tag in _REACHING and not closing and not (foreign and (empty or tag == "title")):
+            end = _CLOSING[tag].search(page, at)
+            at = end.end() if end else len(page)
+            cuts.append((start, at))
+        elif tag in _HOLDING or tag in _INTEGRATED and many["svg"] + many["math"]:
+            if not closing:
+                if not empty or not (tag in _FOREIGN or foreign):
+                    held.append(_Open(tag, start, at))
+                    many[tag] += 1
+                else:
+                    cuts.append((start, at))
+            elif many[tag]:
+                while (last := held.pop()).tag != tag:
+                    many[last.tag] -= 1
+                many[tag] -= 1
+                cuts.append((last.start, at))
+        elif top is not None and (foreign or top.tag == "select"):
+            if closing:
+                ends = not top.inside.get(tag)
+                top.inside[tag] = top.inside.get(tag, 0) - 1
+            else:
+                ends = tag in _BREAKS if foreign else tag not in _IN_SELECT
+                top.inside[tag] = top.inside.get(tag, 0) + (not empty)
+            if ends and foreign:
+                cuts.append((top.start, start))
+                many[held.pop().tag] -= 1
+                at = start
+            elif ends and top.until is None:  # a closed select may hold other tags
+                top.until = start
+    cuts += [(o.start, o.until or o.end) for o in held]
+    cuts.sort()
+    parts, done = [], 0
+    for start, end in cuts:
+        if start >= done:
+            parts += page[done:start], " "
+        done = max(done, end)
+    return "".join([*parts, page[done:]])
+
+
+@dataclass
+class _Open:
+    tag: str
+    start: int
+    end: int
+    until: int | None = None
+    inside: dict[str, int] = field(default_factory=dict)
 
 
-_RAW_ELEMENT = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _REACHING}
 
 
 def parse(page: str) -> list[Node]:
