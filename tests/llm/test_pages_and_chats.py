@@ -120,3 +120,9 @@ def test_unclosed_elements_keep_the_page(weights, page):
 def test_links_with_an_unclosed_icon():
     nodes = html_content.parse("<a href=x><svg><a><path></a><path d=y></a>Text behind</p>")
     assert [n.text[0] for n in nodes if n.text] == ["Text behind"]
+
+
+def test_all_words_of_an_element_are_features():
+    many = " ".join(f"mx-{c}{c}" for c in "abcdefghijklmn")
+    node = html_content.parse(f"<div class='{many} {many} comments'>x</div>")[1]
+    assert node.words[-1] == "comments" and len(node.words) == len(set(node.words)) == 16

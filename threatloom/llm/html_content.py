@@ -208,7 +208,7 @@ def parse(page: str) -> list[Node]:
         elif not rest.endswith("/") or tag in _CLOSES_P:
             block = None
             found = _ATTRIBUTE.findall(rest) if "=" in rest else []
-            words = tuple(_WORDS.findall(" ".join("".join(values) for _, *values in found).lower()))[:12]
+            words = tuple(dict.fromkeys(_WORDS.findall(" ".join("".join(values) for _, *values in found).lower())))
             parent = stack[-1][1]
             nodes[parent].kids.append(len(nodes))
             nodes.append(Node(tag, words, parent, nodes[parent].depth + 1))
