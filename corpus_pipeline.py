@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm import decontamination, ngram_join, packing, pii, quality_classifier
 from threatloom.llm.queries import tokenizer_path
-from threatloom.session import checkpoint_folder
+from threatloom.session import checkpoint_folder, checkpointed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,10 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; rows without doc_id stand in no group and stay."""
-    least = ngram_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of linked texts one row: that of the least id, then of the least class (set hash).
+
+    Rows are told apart by doc_id and class, so a text that is linked with nothing stays, whatever other texts have its id. Of
+    rows equal in both, the least by text, lang, source and n_chars stays. So does, for each id, one of its rows without
+    words. Rows without doc_id stand in no group and stay.
+    """
+    rows = checkpointed(ngram_join.row_components(docs).where("doc_id is not null").select("doc_id", "class", "component"))
+    least = rows.where("class is not null").groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("row")).select("row.*")
+    least = least.unionByName(rows.where("class is null").select("doc_id", "class").distinct())
+    least = least.withColumnsRenamed({"doc_id": "id", "class": "own"})
     docs = docs.select(*COLUMNS)
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = ngram_join.with_classes(docs.where("doc_id is not null"), keep=OTHERS)
+    kept = named.join(least, (F.col("doc_id") == F.col("id")) & F.col("class").eqNullSafe(F.col("own")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "class").orderBy("text", *OTHERS))
+    kept = kept.withColumn("place", place).where("place = 1").select(*COLUMNS)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
