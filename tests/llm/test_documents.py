@@ -293,3 +293,28 @@ def test_ordinal_classifier_on_held_out_documents(spark, nothing):
     assert scored.where("not (expected_grade between 0 and 2) or tail_probability > expected_grade").count() == 0
     assert quality_classifier.classify(nothing, labels).count() == 0
     assert quality_classifier.classify(docs.limit(3), labels.limit(0)).where("kept").count() == 3
+
+
+def test_kept_of_the_rules(spark):
+    texts = [t for _, t in TEXTS] + [
+        "ab # " * 3 + " ".join(f"w{i}" for i in range(20)), "## $$ %% " + " ".join(f"w{i}" for i in range(20)), " ".join(f"WORD{i}" for i in range(20)),
+        " ".join(f"w{i}!?" for i in range(20)), " ".join("x" * 40 + str(i) for i in range(20)), " ".join("abcdefghijklmnopqrst"),
+        "\n".join(["same line"] * 9 + [f"w{i} v{i}" for i in range(30)]), "\n".join([*[f"w{i}" for i in range(40)], *["end"] * 45]), " ".join("abc"[i * i % 3] for i in range(60)),
+        " ".join(f"{'abcd'[i * i * i % 4]}{i % 3}" for i in range(300)), "a b " * 30, "\n".join(x for i in range(12) for x in ("z", f"a{i} b{i}", "z", "z")),
+    ]
+    expected = {}
+    for i, text in enumerate(texts):
+        text, words = text or "", _words(text)
+        chars, n = sum(map(len, words)), len(words)
+        lines = [line for line in text.split("\n") if SPACED.search(line)]
+        grams = collections.Counter(tuple(words[p : p + 5]) for p in range(n - 4))
+        held = {q for p in range(n - 4) if grams[tuple(words[p : p + 5])] > 1 for q in range(p, p + 5)}
+        fails = [
+            n < 10 or 100 * len(held) > 20 * n, 100 * sum(c in "#*$%&|<>" for c in text) > 10 * chars, 2 * sum("A" <= c <= "Z" for c in text) > chars,
+            100 * sum(c in "!?" for c in text) > 10 * chars, chars > 25 * n or chars < 2 * n, 100 * (len(lines) - len(set(lines))) > 50 * len(lines),
+            n >= 50 and 10 * len(set(words)) < n,
+        ]
+        expected[i] = not any(fails)
+    rows = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in rows} == expected
+    assert {r.rejected_by for r in rows} >= {None, "symbols", "capitals", "marks", "word_length"}
