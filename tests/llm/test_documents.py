@@ -295,6 +295,13 @@ def test_ordinal_classifier_on_held_out_documents(spark, nothing):
     assert quality_classifier.classify(docs.limit(3), labels.limit(0)).where("kept").count() == 3
 
 
+def test_a_long_secret_is_one_span():
+    value = "aB3" * 400
+    text = f"token = {value} end"
+    assert pii.proposals(text, []) == [(8, 8 + len(value), "secret")]
+    assert pii.masked(text, pii.proposals(text, [])) == "token = [SECRET] end"
+
+
 def test_kept_of_the_rules(spark):
     texts = [t for _, t in TEXTS] + [
         "ab # " * 3 + " ".join(f"w{i}" for i in range(20)), "## $$ %% " + " ".join(f"w{i}" for i in range(20)), " ".join(f"WORD{i}" for i in range(20)),
