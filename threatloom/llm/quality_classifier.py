@@ -6,8 +6,9 @@ probability P(grade = 2) selects documents.
 
 Features are what a text holds, not how often: its words, the first PREFIXES bytes of longer words, and classes of some ratios
 (capitals, signs, repeated words), hashed to 2 ** FEATURE_BITS places. Training uses at most TRAIN_ROWS labelled
-documents, those with the least hashes of their ids, and the MOST_FEATURES features that tell the grades apart best; so the one
-training task and the weights sent to the executors are bounded. Every document is scored whole.
+documents, those with the least hashes of their ids, and the MOST_FEATURES features that tell the grades apart best. Features are
+counted by grade and chosen in the cluster; the one training task gets only the chosen ones of each document, at most MOST_FEATURES
+two-byte numbers a row, so neither it nor the weights sent to the executors grow with the texts. Every document is scored whole.
 
 Defined results: a null text is an empty one. Labels without doc_id, quality or toxicity are left out; of several labels of a document
 the least grade counts. Without any usable label nothing can be rejected: scores are null and all rows are kept.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from threatloom.llm.common import documents
 from threatloom.llm.meet import runs
 from threatloom.llm.words import _BYTE_VALUES, _POWERS, ALNUM_LOWER, Chunk, chunks, mix
+from threatloom.session import checkpointed
 
 FEATURE_BITS = 22
 PREFIXES = (4, 5)
@@ -35,6 +37,9 @@ LEAST_DOCUMENTS = 4
 #: Standard errors by which a feature's documents must differ from all in some P(grade >= k).
 LEAST_SCORE = 4.0
 GRADES = 3
+RIDGE = 0.05
+#: Pairs of row and feature that a training step expands at once.
+PAIRS = 1 << 19
 KEEP = 0.75
 _MASK = np.uint64((1 << FEATURE_BITS) - 1)
 _SHAPES = np.uint64(0x5851F42D4C957F2D)
@@ -92,48 +97,85 @@ def _grades(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).cast("int").alias("grade"))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each grade that hold a feature, one row for each feature of a chunk; the feature -1 is held by all."""
     for batch in batches:
+        grades = batch.column("grade").to_numpy()
         for chunk in chunks(batch.column("text"), ALNUM_LOWER):
             rows, found = features(chunk)
             pairs = np.unique(rows << FEATURE_BITS | found)
-            bounds = np.searchsorted(pairs >> FEATURE_BITS, np.arange(chunk.rows + 1))
-            held = (pairs & int(_MASK)).astype(np.int32)
-            yield pa.RecordBatch.from_pydict(
-                {"grade": batch.column("grade").slice(chunk.first, chunk.rows),
-                 "held": pa.array([held[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())}
-            )
-
-
-def fit(held: list[np.ndarray], grades: np.ndarray, rounds: int = 400) -> Model:
-    """Maximum likelihood with a small ridge, by full-batch steps scaled per weight."""
-    rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    places = np.concatenate(held)
-    names, column, total = np.unique(places, return_inverse=True, return_counts=True)
-    n, score = len(held), np.zeros(len(names))
-    for cut in range(1, GRADES):  # how far a feature's documents differ in P(grade >= cut) from all
-        above = grades >= cut
-        share = above.mean()
-        hits = np.bincount(column, weights=above[rows], minlength=len(names))
-        score = np.maximum(score, np.abs(hits - total * share) / np.sqrt(total * max(share * (1 - share), 1 / n)))
-    score[total < min(LEAST_DOCUMENTS, max(1, n // 50))] = 0
-    best = np.lexsort((names, -score))[:MOST_FEATURES]
-    best = np.sort(best[score[best] >= LEAST_SCORE])
-    number = np.full(len(names), -1)
-    number[best] = np.arange(len(best))
-    used = number[column] >= 0
-    rows, column = rows[used], number[column[used]]
-    weights, squares = np.zeros(len(best)), np.full(len(best), 1e-6)
+            own = grades[chunk.first : chunk.first + chunk.rows]
+            column = np.concatenate([pairs & int(_MASK), np.full(chunk.rows, -1)])
+            grade = np.concatenate([own[pairs >> FEATURE_BITS], own])
+            names, number = np.unique(column, return_inverse=True)
+            counts = np.bincount(number * GRADES + grade, minlength=len(names) * GRADES).reshape(-1, GRADES)
+            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(n) for n in counts.T)], names=["feature", "n0", "n1", "n2"])
+
+
+def choose(rows: DataFrame, most: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` features whose documents differ most from all in some P(grade >= cut), ascending; and documents by grade."""
+    counts = rows.mapInArrow(_counted, "feature long, n0 long, n1 long, n2 long").groupBy("feature")
+    counts = checkpointed(counts.agg(*(F.sum(name).alias(name) for name in ("n0", "n1", "n2"))))
+    everyone = counts.where("feature = -1").first()
+    if everyone is None:
+        return np.zeros(0, dtype=np.int64), np.zeros(GRADES, dtype=np.int64)
+    of_grade = np.array(everyone[1:])
+    n = int(of_grade.sum())
+    total, score = F.col("n0") + F.col("n1") + F.col("n2"), F.lit(0.0)
+    for cut in range(1, GRADES):
+        share = float(of_grade[cut:].sum()) / n
+        hits = sum((F.col(f"n{k}") for k in range(cut, GRADES)), F.lit(0))
+        score = F.greatest(score, F.abs(hits - total * share) / F.sqrt(total * max(share * (1 - share), 1 / n)))
+    good = counts.withColumn("score", score).where((total >= min(LEAST_DOCUMENTS, max(1, n // 50))) & (F.col("score") >= LEAST_SCORE))
+    best = good.where("feature >= 0").orderBy(F.desc("score"), "feature").limit(most).select("feature").collect()
+    return np.sort(np.array([r.feature for r in best], dtype=np.int64)), of_grade
+
+
+def _reduced(names: np.ndarray):
+    """Of each document its chosen features, as places among them."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << FEATURE_BITS, -1, dtype=np.int16)
+        number[names] = np.arange(len(names))
+        for batch in batches:
+            for chunk in chunks(batch.column("text"), ALNUM_LOWER):
+                rows, found = features(chunk)
+                place = number[found].astype(np.int64)
+                pairs = np.unique((rows << FEATURE_BITS | place)[place >= 0])
+                bounds = np.searchsorted(pairs >> FEATURE_BITS, np.arange(chunk.rows + 1))
+                held = (pairs & int(_MASK)).astype(np.int16)
+                yield pa.RecordBatch.from_pydict(
+                    {"grade": batch.column("grade").slice(chunk.first, chunk.rows),
+                     "held": pa.array([held[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())}
+                )
+
+    return reduce
+
+
+def fit(held: list[np.ndarray], grades: np.ndarray, features: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of ``features`` features and thresholds: maximum likelihood with a small ridge, by full-batch steps scaled per weight.
+
+    Pairs of row and feature are expanded some rows at a time; besides two bytes a pair, memory follows rows and features.
+    """
+    n, lengths = len(held), np.array([len(x) for x in held])
+    column = np.concatenate(held)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = [0]
+    while cuts[-1] < n:  # rows of about PAIRS pairs
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + PAIRS, side="right")) - 1))
+    blocks = [(a, b, column[bounds[a] : bounds[b]], lengths[a:b]) for a, b in zip(cuts, cuts[1:])]
+    weights, squares = np.zeros(features), np.full(features, 1e-6)
     share = [np.clip((grades >= cut).mean(), 0.5 / n, 1 - 0.5 / n) for cut in range(1, GRADES)]
     thresholds = np.maximum.accumulate([-np.log(s / (1 - s)) for s in share] + np.arange(GRADES - 1) * 1e-3)
+    z = np.zeros(n)
     for _ in range(rounds):
-        z = np.bincount(rows, weights=weights[column], minlength=n)
-        edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        low = _logistic(z - edges[grades])  # P(grade >= own)
-        high = _logistic(z - edges[grades + 1])  # P(grade > own)
-        probability = np.maximum(low - high, 1e-9)
+        for a, b, places, sizes in blocks:
+            z[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes), weights=weights[places], minlength=b - a)
+        low, high, probability = cumulative(z, thresholds, grades)
         slope = 1 - low - high
-        gradient = np.bincount(column, weights=slope[rows], minlength=len(best)) - 0.05 * weights
+        gradient = -RIDGE * weights
+        for a, b, places, sizes in blocks:
+            gradient += np.bincount(places, weights=np.repeat(slope[a:b], sizes), minlength=features)
         squares += gradient**2
         weights = np.minimum(0, weights + 0.5 * gradient / np.sqrt(squares))
         for k in range(GRADES - 1):
@@ -141,7 +183,14 @@ def fit(held: list[np.ndarray], grades: np.ndarray, rounds: int = 400) -> Model:
             at = _logistic(z - thresholds[k])
             thresholds[k] += np.clip(0.5 * step / (np.sum(at * (1 - at)) + 1), -1, 1)  # a damped Newton step
         thresholds = np.maximum.accumulate(thresholds + np.arange(GRADES - 1) * 1e-9)
-    return Model(names[best], weights, thresholds)
+    return weights, thresholds
+
+
+def cumulative(z: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(grade >= own), P(grade > own) and P(grade = own) of every row."""
+    edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    low, high = _logistic(z - edges[grades]), _logistic(z - edges[grades + 1])
+    return low, high, np.maximum(low - high, 1e-9)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -149,25 +198,26 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of at most ``train_rows`` labelled documents, fitted by one task."""
+    """A model of at most ``train_rows`` labelled documents: features chosen in the cluster, weights fitted by one task."""
     chosen = _grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # The sample is bounded by train_rows, so it may be sent to all.
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(_sampled, "grade int, held binary")
+    # The sample is bounded by train_rows, so it may be sent to all. Its texts are read three times, hence the checkpoint.
+    rows = checkpointed(documents(docs).join(F.broadcast(chosen), "doc_id").select("text", "grade"))
+    names, of_grade = choose(rows)
+    if not of_grade.sum():
+        return None
 
     def one(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table["held"].combine_chunks()]
+        held = [np.frombuffer(x.as_buffer(), dtype=np.int16) for part in table["held"].chunks for x in part]
         grades = table["grade"].to_numpy().astype(np.int64)
-        order = sorted(range(len(held)), key=lambda i: (held[i].tobytes(), grades[i]))  # the same model from any order of rows
-        model = fit([held[i] for i in order], grades[order])
-        places = np.concatenate([model.places, -1 - np.arange(GRADES - 1)])
-        return pa.table({"place": pa.array(places, pa.int64()), "value": pa.array(np.concatenate([model.weights, model.thresholds]))})
+        order = sorted(range(len(held)), key=lambda i: (grades[i], held[i].tobytes()))  # the same model from any order of rows
+        weights, thresholds = fit([held[i] for i in order], grades[order], len(names))
+        places = np.concatenate([np.arange(len(names)), -1 - np.arange(GRADES - 1)])
+        return pa.table({"place": pa.array(places, pa.int64()), "value": pa.array(np.concatenate([weights, thresholds]))})
 
-    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(one, "place long, value double").orderBy("place").collect()
-    if not fitted:
-        return None
-    weights = [(r.place, r.value) for r in fitted if r.place >= 0]
-    thresholds = [r.value for r in reversed(fitted) if r.place < 0]
-    return Model(np.array([p for p, _ in weights], dtype=np.int64), np.array([v for _, v in weights]), np.array(thresholds))
+    reduced = rows.mapInArrow(_reduced(names), "grade int, held binary").withColumn("all", F.lit(0))
+    fitted = {r.place: r.value for r in reduced.groupBy("all").applyInArrow(one, "place long, value double").collect()}
+    weights = np.array([fitted[k] for k in range(len(names))])
+    return Model(names, weights, np.array([fitted[-1 - k] for k in range(GRADES - 1)]))
 
 
 def _score(model):
