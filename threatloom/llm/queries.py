@@ -17,8 +17,10 @@ from threatloom.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    structure_repair,
     substring_dedup,
 )
+from threatloom.llm.twins import REPAIR_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +104,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_prefix_tree_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_coalescing_viterbi_repair", REPAIR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired_conversations(structure_repair.damaged(_table(spark, sf_dir, "conversations")))
