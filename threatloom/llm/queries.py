@@ -16,11 +16,12 @@ from threatloom.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    ranked_search,
     sharding,
     structure_repair,
     substring_dedup,
 )
-from threatloom.llm.twins import REPAIR_SQL
+from threatloom.llm.twins import REPAIR_SQL, SEARCH_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,3 +110,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_coalescing_viterbi_repair", REPAIR_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repaired_conversations(structure_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+@_query("op13_norm_bucket_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

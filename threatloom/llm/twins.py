@@ -73,3 +73,26 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SEARCH_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark),
+corpus AS (SELECT count(*) AS N, sum(len(terms))::BIGINT AS L FROM docs WHERE len(terms) > 0),
+asked AS (SELECT item, item_id, term, count(*) AS n FROM (SELECT item, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+held AS (
+  SELECT row, doc_id, term, m, count(*) AS tf
+  FROM (SELECT row, doc_id, 25 + (75 * len(terms) * N) // L AS m, unnest(terms) AS term FROM docs, corpus) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term
+),
+scores AS (
+  SELECT item, item_id, row, doc_id, sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN asked USING (term) GROUP BY ALL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
