@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm import (
     chat_repair,
+    credentials,
     decontamination,
     html_content,
     ngram_join,
@@ -21,7 +22,7 @@ from threatloom.llm import (
     structure_repair,
     substring_dedup,
 )
-from threatloom.llm.twins import REPAIR_SQL, SEARCH_SQL
+from threatloom.llm.twins import CREDENTIALS_SQL, REPAIR_SQL, SEARCH_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_credential_linking", CREDENTIALS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in credentials.KINDS[: credentials.BASE]]
+    base = F.sha2(credentials.written(F.filter("spans", credentials.is_base)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), credentials.written(F.col("spans")).alias("spans"))
+
+
 @_query("op12_coalescing_viterbi_repair", REPAIR_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repaired_conversations(structure_repair.damaged(_table(spark, sf_dir, "conversations")))

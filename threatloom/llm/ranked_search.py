@@ -37,7 +37,7 @@ from threatloom.session import checkpointed
 TOP = 10
 BUCKET_ROWS = 256
 #: Levels of term weights; each holds about the same number of the items' terms.
-LEVELS = 6
+LEVELS = 4
 BLOCK_CHARS = 4_000_000
 SHARD_BYTES = 4 * CHUNK_BYTES
 #: Groups of partitions whose best rows meet before the items' do.

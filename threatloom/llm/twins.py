@@ -1,5 +1,7 @@
 """DuckDB twins of the registered queries."""
 
+from threatloom.llm import credentials
+
 REPAIR_SQL = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
@@ -96,3 +98,50 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+def _places(kind: int, pattern: str, good: str = "true") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT row, {kind} AS kind, i, length(gaps[i]) AS gap, length(found[i]) AS size, {good} AS good
+  FROM (SELECT row, regexp_extract_all(text, '{quoted}') AS found, regexp_split_to_array(text, '{quoted}') AS gaps,
+    regexp_extract_all(text, '{quoted}', {2 if kind in (0, 3) else 0}) AS value FROM docs), unnest(range(1, len(found) + 1)) AS t(i)"""
+
+
+_MIXED = "regexp_matches(found[i], '[a-z]') AND regexp_matches(found[i], '[A-Z]') AND regexp_matches(found[i], '[0-9]')"
+_IN_REACH = f"o.row = p.row AND o.scope = p.scope AND abs(o.start - p.start) <= {credentials.REACH}"
+
+CREDENTIALS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({" UNION ALL ".join((
+    _places(0, credentials.ASSIGN, f"length(value[i]) >= {credentials.LEAST_VALUE}"), _places(1, credentials.ACCESS), _places(2, credentials.HEX),
+    _places(3, credentials.IDENTIFIER, f"length(value[i]) >= {credentials.LEAST_IDENTIFIER}"), _places(4, credentials.KEY, _MIXED),
+    _places(5, credentials.ENDPOINT), _places(6, credentials.EMPTY_LINE),
+))}),
+placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY row, kind ORDER BY i) AS ends FROM matches),
+good_parts AS (SELECT row, kind, (ends - size)::BIGINT AS start, ends::BIGINT AS ends FROM placed WHERE good),
+scoped AS (
+  SELECT *, count(*) FILTER (kind = 6) OVER earlier AS scope,
+    max(CASE WHEN kind IN (0, 1, 2, 5) THEN ends END) OVER (PARTITION BY row ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS solid
+  FROM good_parts WINDOW earlier AS (PARTITION BY row ORDER BY start, kind)
+),
+parts AS (SELECT * FROM scoped WHERE kind <> 6 AND (kind <> 4 OR coalesce(solid, 0) <= start)),
+judged AS (
+  SELECT *, EXISTS (SELECT 1 FROM parts o WHERE {_IN_REACH} AND o.kind IN (0, 2, 4)) AS secret,
+    EXISTS (SELECT 1 FROM parts o WHERE {_IN_REACH} AND o.kind IN (1, 3)) AS identifier,
+    EXISTS (SELECT 1 FROM parts o WHERE {_IN_REACH} AND o.kind = 5) AS endpoint
+  FROM parts p
+),
+reported AS (
+  SELECT row, kind, start, ['assign', 'access', 'hex', 'identifier', 'key', 'endpoint'][kind + 1] || ':' || start || ':' || ends AS span
+  FROM judged WHERE kind < 3 OR (kind = 3 AND secret) OR (kind = 4 AND (identifier OR endpoint)) OR (kind = 5 AND secret AND identifier)
+),
+joined AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM reported GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (row)
+"""
