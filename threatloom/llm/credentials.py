@@ -48,7 +48,8 @@ HEX = "[0-9a-f]{24,}"
 IDENTIFIER = f"({either_case('user_?name|user|login|client_?id|account_?id|account|access_?key_?id|key_?id')}){_ASSIGNED}([A-Za-z0-9@._+-]+)"
 LEAST_IDENTIFIER = 3
 KEY = "[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"[A-Za-z][A-Za-z0-9+.]{1,15}://[^\x00-\x20\x22\x27<>`{|}\x7F]+|[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}:[0-9]{2,5}"
+#: Bounded, so that a text is read in time proportional to its length.
+ENDPOINT = r"[A-Za-z][A-Za-z0-9+.]{1,15}://[^\x00-\x20\x22\x27<>`{|}\x7F]+|[A-Za-z0-9-][A-Za-z0-9.-]{1,62}\.[A-Za-z]{2,8}:[0-9]{2,5}"
 EMPTY_LINE = r"\n[\x20\t\r]*\n"
 _PATTERNS = (ASSIGN, ACCESS, HEX, IDENTIFIER, KEY, ENDPOINT, EMPTY_LINE)
 #: What a text must hold for a pattern to be tried.
@@ -67,10 +68,10 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 def _matched(kind: int) -> Column:
     pattern = F.lit(_PATTERNS[kind])
-    found = F.regexp_extract_all("text", pattern, F.lit(0))
+    may = F.regexp_like("text", pattern)
     if _HINTS[kind] is not None:
-        found = F.when(F.contains("text", F.lit(_HINTS[kind])), found)
-    return F.coalesce(F.when(F.regexp_like("text", pattern), found), F.array().cast("array<string>"))
+        may = F.contains("text", F.lit(_HINTS[kind])) & may
+    return F.when(may, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _entries(kind: int) -> Column:

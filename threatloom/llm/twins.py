@@ -22,11 +22,10 @@ damaged AS (
     CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
   FROM (SELECT *, unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fates) WHERE what <> 0
 ),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS k
-  FROM damaged
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i FROM damaged
 ),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS k FROM numbered),
 judged AS (
   SELECT conv_id, turn, role, text, i, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial,
     left(coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY i), ''), 1) || left(role, 1) AS pair,
