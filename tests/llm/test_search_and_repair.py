@@ -129,7 +129,7 @@ def test_decoder_holds_only_what_is_unresolved():
     assert out > 49_900 and decoder.most_held < 200
 
 
-def test_repair_of_long_and_odd_conversations(spark, tmp_path):
+def test_repair_of_long_and_odd_conversations(spark, tmp_path, request):
     rng = random.Random(9)
     roles = ["user", "assistant", "system", "tool", "user", "assistant", None, ""]
     words = ["Hello there.", "no end", "Why?", " ", "", None, "same text!", "\n\n", "é."]
@@ -139,6 +139,8 @@ def test_repair_of_long_and_odd_conversations(spark, tmp_path):
     rows += [(None, t, "user", "x.", 0) for t in (3, 1, None)] + [(50, None, "user", "a.", 0), (50, None, "assistant", "b.", 0), (50, 7, "user", "a.", 0)]
     rows += [(51, 5, "user", "same.", 0)] * 5 + [(52, 0, "user", "dropped?", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, number int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or all of it fits one partition
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     got = _against_twin(spark, "op12_coalescing_viterbi_repair", tmp_path, conversations=df)
     assert len(got) == len({r[0] for r in rows})
     # The general form: its rows, in order, are the audit and the repaired text, also over partitions.
