@@ -6,14 +6,14 @@ import uuid
 from ipaddress import IPv4Address, ip_address
 from urllib.parse import urljoin, urlparse
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
 from threatloom.functions import identifiers, ioc, rules, text, url
 
-FEW = settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=4, derandomize=True, deadline=None, suppress_health_check=list(HealthCheck))
 PIECES = [
     "1.2.3.4", "255.1.1.1", "256.1.1.1", "01.2.3.4", "1.2.3.4:80", "10.0.0.1:65535", "٣.1.1.1", "evil.example", "-bad.example",
     "a.b", "a..b", "x" * 64 + ".org", "hxxp://", "hxxps://", "https://", "http://evil.example/a?b=c", "[.]", "(.)", "[:]//", "［.］",
@@ -173,7 +173,14 @@ def test_domain_rule(spark, names):
     assert evaluate(spark, names, rules.is_public_domain) == [keep_domain(n) for n in names]
 
 
+BLANKS = [
+    "http:// evil.example/", "http://u@evil.example :80/", "http://u@ 8.8.8.8 /", "http:// 10.0.0.8 ?q", "http://evil.example ./p", "http://evil.example. /p",
+    "http://a .b/", "http:// /x", "http://printer.local .", "http:// printer.LAN :8080/", "http://\u00a0evil.example\u2003/x", "http://8.8.8.8 .", "http://[::1]/", "http:// .",
+]
+
+
 @FEW
+@example(BLANKS)
 @given(URLS)
 def test_url_rule(spark, urls):
     assert evaluate(spark, urls, rules.is_public_url) == [keep_url(u) for u in urls]
