@@ -263,6 +263,26 @@ def test_replay_equals_folding(spark, seed):
     assert {tuple(r) for r in listed.collect()} == new
 
 
+@pytest.mark.parametrize("block, fan", [(1, 2), (7, 3)])
+def test_replay_over_many_blocks(spark, monkeypatch, block, fan):
+    """Trees of several levels, with sources that begin and end anywhere in a block."""
+    monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(I, "FAN", fan)
+    history = random_history(6, sources=4, snapshots=30, urls=5)
+    rows, _ = brute_replay(history)
+    replayed, _ = I.replay_history(history_rows(spark, history))
+    assert {tuple(r) for r in replayed.select("source_name", "collected_at", "baseline_at", "kept").collect()} == rows
+
+
+def test_replay_of_ten_thousand_days_of_one_source(spark):
+    rng = random.Random(8)
+    history = {("one", T0 + dt.timedelta(days=n)): {f"u{u}" for u in rng.sample(range(9), rng.randint(1, 3))} for n in range(10_000)}
+    rows, new = brute_replay(history)
+    replayed, judged = I.replay_history(history_rows(spark, history))
+    assert {tuple(r) for r in replayed.select("source_name", "collected_at", "baseline_at", "kept").collect()} == rows
+    assert judged.where("is_new").count() == len(new)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     history = random_history(9, snapshots=12, urls=5)
     times = sorted({t for _, t in history})
@@ -272,15 +292,34 @@ def test_stream_equals_replay(spark, tmp_path):
         history_rows(spark, part).coalesce(1).write.mode("append").parquet(str(landing))
         stream = spark.readStream.schema("source_name string, collected_at timestamp, publication_url string").parquet(str(landing))
         N.stream_new_entries(stream, str(tmp_path / "out")).awaitTermination()
-    got = {tuple(r) for r in N.read_new_entries(spark, str(tmp_path / "out")).collect()}
-    assert got == brute_replay(history)[1]
-    assert N.read_late_entries(spark, str(tmp_path / "out")).count() == 0
-    late = {(source, min(times) - dt.timedelta(days=1), "https://late.org/1") for source in {s for s, _ in history}}
-    spark.createDataFrame(sorted(late), "source_name string, collected_at timestamp, publication_url string").coalesce(1).write.mode("append").parquet(str(landing))
+    out = str(tmp_path / "out")
+    assert {tuple(r) for r in N.read_new_entries(spark, out).collect()} == brute_replay(history)[1]
+    assert N.read_changes(spark, out).where("change < 0").count() == 0  # all came in time
+    # What one source lists was seen by it long ago: its first entries are withdrawn, and the others' state isn't written again.
+    first = min(t for s, t in history if s == "s1")
+    late = {("s1", first - dt.timedelta(days=1)): history["s1", first] | {"u9"}}
+    history_rows(spark, late).coalesce(1).write.mode("append").parquet(str(landing))
     stream = spark.readStream.schema("source_name string, collected_at timestamp, publication_url string").parquet(str(landing))
-    N.stream_new_entries(stream, str(tmp_path / "out")).awaitTermination()
-    assert {tuple(r) for r in N.read_new_entries(spark, str(tmp_path / "out")).collect()} == got
-    assert {tuple(r) for r in N.read_late_entries(spark, str(tmp_path / "out")).collect()} == late
+    N.stream_new_entries(stream, out).awaitTermination()
+    history |= late
+    rows, new = brute_replay(history)
+    assert {tuple(r) for r in N.read_new_entries(spark, out).collect()} == new
+    assert {tuple(r) for r in N.read_snapshots(spark, out).collect()} == {(s, t, kept) for s, t, _, kept in rows}
+    withdrawn = N.read_changes(spark, out).where("change < 0").collect()
+    assert {(r.collected_at, r.publication_url) for r in withdrawn} == {(first, u) for u in history["s1", first]}
+    assert {r.source_name for r in spark.read.parquet(f"{out}/kept").where("batch = 4").collect()} == {"s1"}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_shuffled_stream_equals_replay(spark, tmp_path, seed):
+    history = random_history(seed, sources=2, snapshots=14, urls=4)
+    keys = sorted(history)
+    random.Random(seed).shuffle(keys)
+    for n in range(3):
+        history_rows(spark, {k: history[k] for k in keys[n::3]}).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema("source_name string, collected_at timestamp, publication_url string").parquet(str(tmp_path / "in/*"))
+        N.stream_new_entries(stream, str(tmp_path / "out")).awaitTermination()
+    assert {tuple(r) for r in N.read_new_entries(spark, str(tmp_path / "out")).collect()} == brute_replay(history)[1]
 
 
 def test_one_page_per_url(spark):

@@ -1,7 +1,8 @@
 """What is new since a feed's last kept index snapshot.
 
 A feed may hold a large share of all rows, so no step gathers a feed: previous rows are found with a
-window per key and day plus one over the days, and the replay of a history works on day blocks.
+window per key and day plus one over the days, and the replay of a history is an associative scan over blocks of
+BLOCK snapshots, which knows no feeds at all.
 """
 
 from __future__ import annotations
@@ -9,7 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.functions.expressions import let
+from threatloom.functions.expressions import empty_array, let
+from threatloom.operators.numbering import number_rows
+from threatloom.session import checkpointed
+
+#: Snapshots of one block of a replay, and blocks or nodes under one node of the tree above them.
+BLOCK, FAN = 256, 32
+_STEPS = "struct<oldest:timestamp,exit:timestamp>"
 
 
 def previous_value(df: DataFrame, keys: list[str], order: str, bucket: Column, name: str) -> DataFrame:
@@ -46,6 +53,80 @@ def _is_new(last_seen: Column, baseline: Column) -> Column:
     return baseline.isNull() | last_seen.isNull() | (last_seen < baseline)
 
 
+def _first_steps(snaps: Column) -> Column:
+    """Snapshots older, by ``oldest``, than all before them: the only ones that a block's first step can land on."""
+    older = lambda low, s: low.isNotNull() & (s["oldest"].isNull() | (s["oldest"] < low))
+    return F.aggregate(
+        snaps,
+        empty_array("struct<place:bigint,collected_at:timestamp,oldest:timestamp>"),
+        lambda found, s: F.when(
+            (F.size(found) == 0) | let(F.element_at(found, -1)["oldest"], lambda low: older(low, s)), F.concat(found, F.array(s))
+        ).otherwise(found),
+    )
+
+
+def _advance(baseline: Column, snap: Column) -> Column:
+    return F.when(_is_new(snap["oldest"], baseline), snap["collected_at"]).otherwise(baseline)
+
+
+def _block_steps(snaps: Column) -> Column:
+    """A block as a step function of the baseline that it is entered with.
+
+    Entered with b it leaves with the ``exit`` of the first step whose ``oldest`` is before b (null is before all),
+    and with b itself if there is none. A baseline is older than the block, so steps that are not cannot be the first.
+    """
+
+    def with_exit(step: Column) -> Column:
+        rest = F.filter(snaps, lambda s: s["place"] > step["place"])
+        last = F.aggregate(rest, step["collected_at"], _advance)
+        return F.struct(step["oldest"].alias("oldest"), last.alias("exit"))
+
+    own_run = lambda s: s["oldest"].isNull() | (s["oldest"] < F.element_at(snaps, 1)["collected_at"])
+    return _merged(F.transform(F.filter(_first_steps(snaps), own_run), with_exit))
+
+
+def _merged(steps: Column) -> Column:
+    """Of neighbours with one exit the oldest says it all."""
+    after = lambda i: F.get(steps, i + 1)["exit"]
+    return F.filter(steps, lambda s, i: after(i).isNull() | (after(i) != s["exit"]))
+
+
+def _leave(steps: Column, baseline: Column) -> Column:
+    return F.coalesce(F.get(F.filter(steps, lambda s: _is_new(s["oldest"], baseline)), F.lit(0))["exit"], baseline)
+
+
+def _composed(children: Column) -> Column:
+    """The step function of blocks or nodes that follow each other."""
+
+    def then(steps: Column, child: Column) -> Column:
+        through = F.transform(steps, lambda s: F.struct(s["oldest"].alias("oldest"), _leave(child["steps"], s["exit"]).alias("exit")))
+        low = F.get(steps, F.size(steps) - 1)["oldest"]
+        later = F.filter(child["steps"], lambda s: (F.size(steps) == 0) | (low.isNotNull() & (s["oldest"].isNull() | (s["oldest"] < low))))
+        return _merged(F.concat(through, later))
+
+    return F.aggregate(children, empty_array(_STEPS), then)
+
+
+def _entered(blocks: DataFrame) -> DataFrame:
+    """(node, entry_at) of blocks (node, steps): baselines that blocks are entered with, by a reduction tree and back down."""
+    level, count, tree = blocks.select("node", "steps"), blocks.count(), []
+    while count > 1:
+        nodes = level.groupBy(F.expr(f"node div {FAN}").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "steps"))).alias("children"))
+        tree.append(checkpointed(nodes.select(F.col("parent").alias("node"), "children", _composed(F.col("children")).alias("steps"))))
+        level, count = tree[-1].select("node", "steps"), -(-count // FAN)
+    entered = level.select("node", F.lit(None).cast("timestamp").alias("entry_at"))
+    for nodes in reversed(tree):
+
+        def through(state: Column, child: Column) -> Column:
+            here = F.struct(child["node"].alias("node"), state["baseline"].alias("entry_at"))
+            return F.struct(_leave(child["steps"], state["baseline"]).alias("baseline"), F.concat(state["rows"], F.array(here)).alias("rows"))
+
+        start = F.struct(F.col("entry_at").alias("baseline"), empty_array("struct<node:bigint,entry_at:timestamp>").alias("rows"))
+        rows = F.aggregate("children", start, through, lambda state: state["rows"])
+        entered = nodes.select("node", "children").join(entered, "node").select(F.inline(rows))
+    return entered
+
+
 def replay_history(entries: DataFrame, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Replay index snapshots in time order, dropping those that bring nothing new.
 
@@ -55,8 +136,12 @@ def replay_history(entries: DataFrame, bucket: Column | None = None) -> tuple[Da
 
     A snapshot at b brings something new over baseline k exactly when one of its URLs was last seen before
     k: all snapshots between them were dropped, so they list nothing that k does not. Per snapshot one value
-    is enough, the oldest "last seen" of its URLs, and the baselines are a chain over these values. The chain
-    is folded per day, for each baseline the day may start with, then over the days, then per day again.
+    is enough, the oldest "last seen" of its URLs, and the baselines are a chain over these values.
+
+    All snapshots are numbered in the order of (source, time) and cut into blocks of BLOCK. A block is a step function of the
+    baseline; such functions are composed in a tree, and the baselines that blocks are entered with come back down
+    it. A source's first snapshot is new over anything, so the chain starts afresh there by itself: how many snapshots a source has
+    in all, or on a day, makes no difference.
     """
     key = ["source_name", "collected_at"]
     day = F.to_date("collected_at") if bucket is None else bucket
@@ -65,74 +150,30 @@ def replay_history(entries: DataFrame, bucket: Column | None = None) -> tuple[Da
         # Null, the oldest of all, when a URL is seen for the first time.
         F.when(~F.bool_or(F.col("last_seen").isNull()), F.min("last_seen")).alias("oldest")
     )
-    blocks = (
-        snapshots.withColumn("_day", day)
-        .groupBy("source_name", "_day")
-        .agg(F.sort_array(F.collect_list(F.struct("collected_at", "oldest"))).alias("snaps"))
-    )
-
-    def advance(baseline: Column, snap: Column) -> Column:
-        return F.when(_is_new(snap["oldest"], baseline), snap["collected_at"]).otherwise(baseline)
-
-    no_time = F.lit(None).cast("timestamp")
-
-    def first_steps(snaps: Column) -> Column:
-        """Snapshots older, by ``oldest``, than all before them: the only ones a day's first step can land on."""
-        empty = F.array().cast("array<struct<collected_at:timestamp,oldest:timestamp>>")
-        return F.aggregate(
-            snaps,
-            empty,
-            lambda found, s: F.when(
-                (F.size(found) == 0)
-                | let(
-                    F.element_at(found, -1)["oldest"],
-                    lambda low: low.isNotNull() & (s["oldest"].isNull() | (s["oldest"] < low)),
-                ),
-                F.concat(found, F.array(s)),
-            ).otherwise(found),
-        )
-
-    def with_exit(snaps: Column, step: Column) -> Column:
-        rest = F.filter(snaps, lambda s: s["collected_at"] > step["collected_at"])
-        last = F.aggregate(rest, step["collected_at"], advance)
-        return F.struct(step["oldest"].alias("oldest"), last.alias("exit"))
-
-    steps = blocks.withColumn(
-        "steps", F.transform(first_steps(F.col("snaps")), lambda s: with_exit(F.col("snaps"), s))
-    )
-
-    def over_days(state: Column, block: Column) -> Column:
-        taken = F.get(F.filter(block["steps"], lambda s: _is_new(s["oldest"], state["baseline"])), F.lit(0))
-        here = F.struct(block["_day"].alias("_day"), state["baseline"].alias("entry_at"))
-        return F.struct(
-            F.coalesce(taken["exit"], state["baseline"]).alias("baseline"),
-            F.concat(state["days"], F.array(here)).alias("days"),
-        )
-
-    # One small row per source and day.
-    start = F.struct(
-        no_time.alias("baseline"), F.array().cast("array<struct<_day:date,entry_at:timestamp>>").alias("days")
-    )
-    entered = (
-        steps.groupBy("source_name")
-        .agg(F.sort_array(F.collect_list(F.struct("_day", "steps"))).alias("blocks"))
-        .select("source_name", F.inline(F.aggregate("blocks", start, over_days, lambda s: s["days"])))
-    )
-
-    def within_day(state: Column, snap: Column) -> Column:
-        kept = _is_new(snap["oldest"], state["baseline"])
+    placed = number_rows(snapshots, key, "place").withColumn("node", F.expr(f"place div {BLOCK}"))
+    snap = F.struct("place", "source_name", "collected_at", "oldest")
+    blocks = placed.groupBy("node").agg(F.sort_array(F.collect_list(snap)).alias("snaps"))
+    narrow = F.transform("snaps", lambda s: F.struct(*[s[name].alias(name) for name in ("place", "collected_at", "oldest")]))
+    steps = let(narrow, _block_steps)
+    blocks = checkpointed(blocks.withColumn("steps", steps))
+
+    # A source's first snapshot has no baseline; whose baseline a block is entered with, the block before tells.
+    before = blocks.select((F.col("node") + 1).alias("node"), F.element_at("snaps", -1)["source_name"].alias("source_before"))
+
+    def within_block(state: Column, snap: Column) -> Column:
+        own = F.when(state["source_name"].eqNullSafe(snap["source_name"]), state["baseline"])
         row = F.struct(
-            snap["collected_at"].alias("collected_at"), state["baseline"].alias("baseline_at"), kept.alias("kept")
-        )
+            snap["source_name"].alias("source_name"), snap["collected_at"].alias("collected_at"), own.alias("baseline_at"),
+            _is_new(snap["oldest"], own).alias("kept"),
+        )
         return F.struct(
-            advance(state["baseline"], snap).alias("baseline"), F.concat(state["rows"], F.array(row)).alias("rows")
+            snap["source_name"].alias("source_name"), _advance(own, snap).alias("baseline"), F.concat(state["rows"], F.array(row)).alias("rows")
         )
 
-    row_type = "array<struct<collected_at:timestamp,baseline_at:timestamp,kept:boolean>>"
-    opened = F.struct(F.col("entry_at").alias("baseline"), F.array().cast(row_type).alias("rows"))
-    replayed = blocks.join(entered, ["source_name", "_day"]).select(
-        "source_name", F.inline(F.aggregate("snaps", opened, within_day, lambda s: s["rows"]))
-    )
+    row_type = "struct<source_name:string,collected_at:timestamp,baseline_at:timestamp,kept:boolean>"
+    opened = F.struct(F.col("source_before").alias("source_name"), F.col("entry_at").alias("baseline"), empty_array(row_type).alias("rows"))
+    rows = F.aggregate("snaps", opened, within_block, lambda state: state["rows"])
+    replayed = blocks.join(_entered(blocks), "node").join(before, "node", "left").select(F.inline(rows))
     judged = (
         seen.join(replayed, key)
         .withColumn("is_new", F.col("kept") & _is_new(F.col("last_seen"), F.col("baseline_at")))

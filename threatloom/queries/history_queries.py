@@ -97,6 +97,21 @@ def replay_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed.select("source_name", shown("collected_at"), shown("baseline_at"), "kept")
 
 
+HOURLY, HOURLY_SQL = (1, None), C.event_snapshots_sql(1, None)
+
+
+@query(
+    "inc_03_replay_all_urls",
+    f"WITH {replay_sql(HOURLY_SQL)} SELECT source_name, {shown_sql('collected_at')}, {shown_sql('baseline_at')}, kept, len(fresh) AS fresh FROM replayed",
+)
+def replay_all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly snapshots with the events' own URLs."""
+    replayed, judged = I.replay_history(C.event_snapshots(spark, sf_dir, *HOURLY))
+    fresh = judged.groupBy("source_name", "collected_at").agg(F.count_if("is_new").alias("fresh"))
+    joined = replayed.join(fresh, ["source_name", "collected_at"])
+    return joined.select("source_name", shown("collected_at"), shown("baseline_at"), "kept", "fresh")
+
+
 _REPLAY_NEW_SQL = (
     f"WITH {replay_sql(DENSE_SQL)} SELECT source_name, {shown_sql('collected_at')}, unnest(fresh) AS publication_url FROM replayed"
 )
@@ -154,18 +169,37 @@ def missing_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.select("source_name", shown("collected_at"), "publication_url")
 
 
+CHUNKS = 3
+
+
+def _streamed(spark: SparkSession, sf_dir: str, hours: int, users: int | None) -> str:
+    """Folder of a stream that got whole snapshots in CHUNKS deliveries, out of order, and was stopped after each."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
+    chunk = F.pmod(F.xxhash64("source_name", "collected_at"), F.lit(CHUNKS))
+    entries = C.event_snapshots(spark, sf_dir, hours, users).withColumn("chunk", chunk)
+    for n in range(CHUNKS):
+        entries.where(F.col("chunk") == n).drop("chunk").write.parquet(f"{folder}/arrived/{n}")
+        arriving = spark.readStream.schema("source_name string, collected_at timestamp, publication_url string")
+        N.stream_new_entries(arriving.parquet(f"{folder}/arrived/*"), folder).awaitTermination()
+    return folder
+
+
 @query("inc_06_stream_new_entries", _REPLAY_NEW_SQL)
 def stream_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream of snapshots, run until it is used up."""
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
-    events = (
-        spark.readStream.schema(C.table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    entries = C.snapshot_entries(events, *DENSE)
-    N.stream_new_entries(entries, folder).awaitTermination()
-    return N.read_new_entries(spark, folder).select("source_name", shown("collected_at"), "publication_url")
+    found = N.read_new_entries(spark, _streamed(spark, sf_dir, *DENSE))
+    return found.select("source_name", shown("collected_at"), "publication_url")
+
+
+@query(
+    "inc_06_stream_all_urls",
+    f"WITH {replay_sql(HOURLY_SQL)} SELECT source_name, {shown_sql('collected_at')}, kept, len(fresh) AS fresh FROM replayed",
+)
+def stream_all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions and numbers of new entries after late deliveries, with the events' own URLs."""
+    folder = _streamed(spark, sf_dir, *HOURLY)
+    fresh = N.read_new_entries(spark, folder).groupBy("source_name", "collected_at").agg(F.count(F.lit(1)).alias("fresh"))
+    joined = N.read_snapshots(spark, folder).join(fresh, ["source_name", "collected_at"], "left")
+    return joined.select("source_name", shown("collected_at"), "kept", F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
 @query(
