@@ -223,6 +223,23 @@ def compact_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.compact_snapshots(snapshots, replayed).select("source_name", shown("collected_at"), "urls")
 
 
+@query(
+    "src_12_delete_redundant",
+    f"WITH {replay_sql(DENSE_SQL)} SELECT source_name, {shown_sql('collected_at')}, CAST(len(urls) AS STRING) AS urls FROM snaps "
+    "WHERE (source_name, collected_at) IN (SELECT (source_name, collected_at) FROM replayed WHERE kept)",
+)
+def delete_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots stored, replayed, and what the replay found redundant deleted from the store, twice."""
+    entries = C.event_snapshots(spark, sf_dir, *DENSE)
+    listed = entries.groupBy("source_name", "collected_at").agg(F.count(F.lit(1)).cast("string").alias("urls"))
+    folder = f"{checkpoint_folder(spark)}/snapshots-{uuid.uuid4()}"
+    S.write_snapshots(listed.select("*", F.lit("index").alias("snapshot_kind"), F.sha2("urls", 256).alias("sha256_hex")), folder)
+    redundant = I.replay_history(entries)[0].where("not kept").withColumn("snapshot_kind", F.lit("index"))
+    for _ in range(2):
+        S.delete_snapshots(redundant, folder)
+    return S.load_snapshots(spark, folder).select("source_name", shown("collected_at"), "urls")
+
+
 @query(
     "src_13_retain",
     f"SELECT source_name, {shown_sql('collected_at')} FROM ({_SNAPSHOTS_SQL}) AS s "

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import fixed_values as V
 from threatloom.operators import runs as R
-from threatloom.plans import full_run
+from threatloom.plans import full_run, run_store
 from threatloom.queries import corpora as C
 from threatloom.queries import sql as Q
 from threatloom.queries.catalog import query
 from threatloom.queries.history_queries import replay_sql, shown, shown_sql
 from threatloom.queries.stix_queries import OBJECT_COUNTS_SQL, stix_entries, with_objects
 from threatloom.operators import stix as X
+from threatloom.session import checkpoint_folder
+from threatloom.sources import run_history
 
 # ---------------------------------------------------------------- a whole run over landed pages
 
@@ -155,13 +159,71 @@ _RESULTS_SQL = (
 )
 
 
-@query(
-    "run_01_full_batch",
+_RUN_01_SQL = (
     f"{_RESULTS_SQL} SELECT source_name, {shown_sql('collected_at')}, snapshot_deleted, total_index_entries, new_index_entries, "
-    "fetched_entries, parsed_entries, stix_object_count, succeeded, error_message FROM results",
+    "fetched_entries, parsed_entries, stix_object_count, succeeded, error_message FROM results"
 )
+
+
+@query("run_01_full_batch", _RUN_01_SQL)
 def full_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _run(spark, sf_dir).results
+    return _shown_results(_run(spark, sf_dir).results)
+
+
+class _Stopped(Exception):
+    """A run's end in the middle."""
+
+
+class _StoppingStore(run_store.RunStore):
+    def commit(self, run: str, stage: str, schema: str = "") -> None:
+        super().commit(run, stage, schema)
+        if stage == "parsed":
+            raise _Stopped
+
+
+@query("run_01_two_stored_runs", _RUN_01_SQL)
+def two_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages in two runs; the first one stops after a stage and is started again, the second begins at stored baselines."""
+    folder = f"{checkpoint_folder(spark)}/runs-{uuid.uuid4()}"
+    pages, entries = index_pages(spark, sf_dir), entry_pages(spark, sf_dir)
+    early = F.col("collected_at") < F.lit("1995-07-01").cast("timestamp")
+    store = run_store.RunStore(spark, folder)
+    try:
+        run_store.run_and_store(_StoppingStore(spark, folder), "1", feeds(spark, sf_dir), pages.where(early), entries)
+    except _Stopped:
+        run_store.run_and_store(store, "1", feeds(spark, sf_dir), pages.where(early), entries)
+    run_store.run_and_store(store, "2", feeds(spark, sf_dir), pages.where(~early), entries)
+    return _shown_results(run_history.load_runs(spark, f"{folder}/history"))
+
+
+_SOURCE_STATUS_SQL = (
+    "SELECT 'feed ' || CAST(c_custkey AS STRING) AS source_name, 'https://example.org/' || CAST(c_custkey AS STRING) AS source_url, "
+    "c_custkey % 23 <> 0 AS succeeded, CASE WHEN c_custkey % 23 = 0 THEN 'no \"quotes\", no end' END AS error_message, "
+    "CASE WHEN c_custkey % 23 <> 0 AND c_custkey % 5 <> 0 THEN 'snapshot ' || CAST(c_custkey AS STRING) END AS snapshot_locator, "
+    "c_custkey % 23 <> 0 AND c_custkey % 5 = 0 AS snapshot_deleted, CAST(c_custkey % 9 AS INT) AS total_index_entries, "
+    "CAST(c_custkey % 4 AS INT) AS new_index_entries, CAST(c_custkey % 3 AS INT) AS fetched_entries, CAST(c_custkey % 2 AS INT) AS parsed_entries, "
+    "CASE WHEN c_custkey % 2 = 1 THEN 'bundle--' || CAST(c_custkey AS STRING) END AS stix_bundle_locator, "
+    "CAST(c_custkey % 2 * 3 AS INT) AS stix_object_count FROM customer"
+)
+
+
+@query(
+    "run_status",
+    f"SELECT s.*, '2024-05-06T07:08:09.000000Z' AS generated_at, count(*) OVER () AS total_sources, count(*) FILTER (succeeded) OVER () AS succeeded_sources, "
+    f"count(*) FILTER (NOT succeeded) OVER () AS failed_sources FROM ({_SOURCE_STATUS_SQL}) AS s",
+)
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status document of a run, written and read back: its sources, each with the document's totals."""
+    C.table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    results = spark.sql(_SOURCE_STATUS_SQL).withColumn("generated_at", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    folder = f"{checkpoint_folder(spark)}/status-{uuid.uuid4()}"
+    run_history.write_status(results, folder, config_path="feeds.json")
+    totals, sources = run_history.read_status(spark, folder)
+    # The document has one row of totals.
+    return sources.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+def _shown_results(results: DataFrame) -> DataFrame:
     return results.withColumnRenamed("generated_at", "collected_at").select(
         "source_name",
         shown("collected_at"),

@@ -317,6 +317,8 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         locator.alias("snapshot_locator"),
         at.alias("generated_at"),
     )
-    run_history.append_runs(results, folder)
+    # Half of them come twice.
+    run_history.merge_runs(results.where("length(snapshot_locator) > 0 and pmod(hash(source_name), 2) = 0"), folder)
+    run_history.merge_runs(results, folder)
     newest = run_history.latest_runs(run_history.load_runs(spark, folder))
     return newest.select("source_name", "snapshot_locator")

@@ -11,7 +11,7 @@ from threatloom import fixed_values as V
 from threatloom import schemas
 from threatloom.functions.text import strip_space
 from threatloom.functions.url import is_http_url
-from threatloom.session import ship_package
+from threatloom.session import checkpointed, ship_package
 
 _UTF8_NAMES = ("", "utf-8", "utf8", "utf_8")
 _LATIN1_NAMES = ("latin-1", "latin1", "iso-8859-1", "iso8859-1", "l1")
@@ -133,6 +133,30 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     balanced.write.mode("append").partitionBy("source_key", "snapshot_kind").parquet(path)
 
 
+def delete_snapshots(redundant: DataFrame, path: str) -> None:
+    """Take snapshots (source_name, snapshot_kind, collected_at) out of the store; what is not there is no error.
+
+    Only folders that hold some of them are written anew; their new files replace the old ones when the write commits. A folder
+    that is left empty goes. A repeated call finds nothing to do.
+    """
+    spark, folder = redundant.sparkSession, ["source_key", "snapshot_kind"]
+    stored = load_snapshots(spark, path)
+    gone = redundant.select(source_key(F.col("source_name")).alias("source_key"), "snapshot_kind", "collected_at").distinct()
+    identity = [*folder, "collected_at"]
+    # One narrow row per folder: is it touched, does anything stay, and where is it?
+    where = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("place")
+    judged = stored.select(*identity, where).join(gone.withColumn("gone", F.lit(True)), identity, "left")
+    folders = judged.groupBy(*folder, "place").agg(F.bool_or(F.col("gone").isNotNull()).alias("touched"), F.bool_or(F.col("gone").isNull()).alias("stays"))
+    touched = checkpointed(folders.where("touched"))
+    if touched.isEmpty():
+        return
+    rest = stored.join(touched.where("stays").select(folder), folder, "left_semi").join(gone, identity, "left_anti")
+    rest.hint("rebalance", *folder).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folder).parquet(path)
+    for row in touched.where("not stays").select("place").toLocalIterator():
+        place = spark._jvm.org.apache.hadoop.fs.Path(row.place)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
