@@ -196,10 +196,10 @@ _candidate_query(
     "h_25_candidate_texts_pp",
     V.PP,
     [
-        ("k % 3 = 2", "sha256 || ' SHA256 18 November 2024'", "'sha256'"),
-        ("k % 3 = 2", f"{_dots('domain_b')} || ' Remcos C2'", "NULL"),
-        ("k % 3 = 2", f"{_dots('ipv4')} || ' Facing IP, pages'", "'ipv4'"),
-        ("k % 3 = 2", f"{_DROP} || ' file'", "'url'"),
+        ("k % 3 = 2", "sha256 || ' SHA256 of the archive'", "'sha256'"),
+        ("k % 3 = 2", f"{_dots('domain_b')} || ' panel'", "NULL"),
+        ("k % 3 = 2", f"{_dots('ipv4')} || ' IP of a relay'", "'ipv4'"),
+        ("k % 3 = 2", f"{_DROP} || ' second stage'", "'url'"),
         ("k % 3 = 2", "sha1 || ' ' || file", "NULL"),
     ],
 )
@@ -241,14 +241,12 @@ def header_typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("k % 3 = 0", "md5", "'hash'"),
             ("k % 3 = 0", "'only ' || url_b", "NULL"),
             ("k % 3 = 1", "'Indicator'", "'ipv4'"),
-            ("k % 3 = 1", f"'user' || CAST(c AS STRING) || '@' || {_dots('domain_b')}", "NULL"),
-            ("k % 3 = 1", "'Sender Email'", "NULL"),
-            ("k % 3 = 1", "'x'", "NULL"),
             ("k % 3 = 1", f"{_dots('ipv4_b')} || ':' || port", "NULL"),
-            ("k % 3 = 1", "'Stealer C2'", "NULL"),
-            ("k % 3 = 1", "'x'", "NULL"),
+            ("k % 3 = 1", "'Backdoor server'", "NULL"),
             ("k % 3 = 1", "domain", "'domain'"),
-            ("k % 3 = 1", "'other'", "NULL"),
+            ("k % 3 = 1", f"'box' || CAST(c AS STRING) || '@' || {_dots('domain_b')}", "NULL"),
+            ("k % 3 = 1", "'Mailbox'", "NULL"),
+            ("k % 3 = 1", "'elsewhere'", "NULL"),
             ("k % 3 = 1", "md5", "NULL"),
         ],
         ["text", "hint"],
