@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -126,3 +127,43 @@ def test_all_words_of_an_element_are_features():
     many = " ".join(f"mx-{c}{c}" for c in "abcdefghijklmn")
     node = html_content.parse(f"<div class='{many} {many} comments'>x</div>")[1]
     assert node.words[-1] == "comments" and len(node.words) == len(set(node.words)) == 16
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a href='x ", "<!x ", "<?x ", "<!--", "<a \"<b '>", "<div>", "<div></x>", "<a><div><b>", "</a><td></td>", "<svg><g>", "<select><option>", "<script>", "</script"],
+)
+def test_time_grows_with_the_length_of_bad_markup(piece):
+    def seconds(count):
+        least = math.inf
+        for _ in range(3):
+            start = time.perf_counter()
+            html_content.parse("<div>" * count + piece * count + "</x>" * count)
+            least = min(least, time.perf_counter() - start)
+        return least
+
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.05  # four times the length; 16 times the time if all of it were read again and again
+
+
+def test_a_tag_without_an_end_is_text():
+    blocks = lambda page: [n.text[0] for n in html_content.parse(page) if n.text]
+    assert blocks("<p>a <b and 'c</p>") == ["a <b and 'c"]
+    assert blocks("<p>1 < 2 <!x</p><p>b <a title='>") == ["1 < 2", "b <a title='>"]
+    assert blocks("x &am<p title='a>b'>y <i c") == ["x &am", "y <i c"]
+
+
+_LONG = "<article><h1>Energy at rest</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> exactly, as this article of some words says.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        _LONG + "</article>",
+        _LONG + "<button>Share</button></article>",
+        _LONG + "<section><h3>3 Comments</h3><article><p>Great post, thank you!</p></article><article><p>Not at all so.</p></article></section></article>",
+        _LONG + "</article><section><h2>Comments</h2><article><header>Bob</header><p>Great post, thank you for it!</p></article></section>",
+    ],
+)
+def test_formulas_stay_and_comments_go(weights, page):
+    page = f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>Copyright</footer></body></html>"
+    assert html_content.main_text(page, weights) == "Energy at rest\n\nEnergy is E=m exactly, as this article of some words says."

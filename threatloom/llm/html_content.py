@@ -6,7 +6,9 @@ root and down again and give each node's exact marginal. Weights are trained by
 pages written from varied layouts by ``labelled_pages``, whose truth is known. Text blocks with a marginal over one half make
 the main text.
 
-Defined results: null html is empty and gives an empty text. Every row is judged by itself, repeated or without page_id.
+Defined results: null html is empty and gives an empty text. Every row is judged by itself, repeated or without page_id. A ``<`` whose tag
+has no end is text. Time and memory grow with the page's length, whatever its markup is. Formulas are text; what noscript, canvas, object
+and iframe hold for browsers that can't show them is not, since the page does not show it.
 """
 
 from __future__ import annotations
@@ -26,15 +28,17 @@ from threatloom.session import ship_package
 
 TRAIN_PAGES = 160
 ROUNDS = 25
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+PAGE_NODES = 60
+_TAG_PATTERN = r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_TOKEN = re.compile(_TAG_PATTERN + r"|<![^>]*>|<\?[^>]*>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements without text to read; those that reach to the end of the page if they are not closed come first.
 _REACHING = ("script", "style", "textarea", "title")
-_HOLDING = frozenset("noscript template svg iframe select object canvas math".split())
-_FOREIGN = frozenset(("svg", "math"))
-#: Where svg and math hold HTML again, and the HTML that ends them elsewhere.
-_INTEGRATED = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_HOLDING = frozenset("noscript template svg iframe select object canvas".split())
+_FOREIGN = frozenset(("svg",))
+#: Where svg holds HTML again, and the HTML that ends it elsewhere.
+_INTEGRATED = frozenset("foreignobject desc title".split())
 _BREAKS = frozenset(
     "address article aside b big blockquote body br center code dd details div dl dt em embed fieldset figcaption figure font footer form"
     " h1 h2 h3 h4 h5 h6 header hr i img input li listing main menu meta nav nobr ol p pre ruby s section small span strike strong"
@@ -43,12 +47,19 @@ _BREAKS = frozenset(
 _IN_SELECT = frozenset(("option", "optgroup", "hr"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Inline elements are part of their block; everything else begins a block.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext msup msub"
+    " msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded mspace".split()
+)
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split()
 )
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Longer headings are titles, not names of parts.
+HEADING_CHARS = 32
+_FURNITURE = frozenset(("nav", "aside", "footer", "form"))
 _SPACE = re.compile(r"\s+")
 
 
@@ -63,13 +74,55 @@ class Node:
     chars: int = 0
     truth: int = 0
     kids: list[int] = field(default_factory=list)
+    under: str = ""  # the nearest of _FURNITURE that the node is in
+
+
+def _settled(page: str, start: int) -> str:
+    """The page with every ``<`` from ``start`` on that begins a tag without an end as a character reference.
+
+    A tag ends at the next ``>`` outside of quotes. Whether there is one follows, from the page's end backwards, from what comes after
+    the next quoted part, so one pass settles it for all tags and no later search reads to the end of the page in vain.
+    """
+    events = [match.start() for match in _EVENT.finditer(page, start)]
+    ends = [False] * (len(events) + 1)
+    following: dict[str, int] = {}
+    for i in range(len(events) - 1, -1, -1):
+        char = page[events[i]]
+        if char == ">":
+            ends[i] = True
+        else:
+            ends[i] = char in following and ends[following[char] + 1]
+            following[char] = i
+    parts, done, i, last = [], 0, 0, page.rfind(">")
+    for match in _START.finditer(page, start):
+        at = match.start()
+        while i < len(events) and events[i] < at:
+            i += 1
+        if not (at < last if page[at + 1] in "!?" else ends[i]):
+            parts += page[done:at], "&lt;"
+            done = at + 1
+    return "".join([*parts, page[done:]])
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and texts of the page; settled from the first tag without an end on."""
+    at = 0
+    while True:
+        for match in _TOKEN.finditer(page, at):
+            if match[4] == "<" and _START.match(page, match.start()):
+                at = match.start()
+                page = _settled(page, at)
+                break
+            yield match
+        else:
+            return
 
 
 def _cut_raw(page: str) -> str:
     """The page without elements that never hold text to read.
 
     Script, style, textarea and title reach to their closing tag or the end of the page. Of other elements an open one loses its
-    tag only, and svg, math and select end where a tag can't stand in them. What a head holds besides these is page, as in browsers.
+    tag only, and svg and select end where a tag can't stand in them. What a head holds besides these is page, as in browsers.
     """
     cuts: list[tuple[int, int]] = []
     held: list[_Open] = []
@@ -78,6 +131,9 @@ def _cut_raw(page: str) -> str:
     while match := _TAG.search(page, at):
         start, at = match.span()
         closing, tag, rest = match.groups()
+        if tag is None and at == start + 1:
+            page, at = _settled(page, start), start
+            continue
         tag = (tag or "").lower()
         empty = (rest or "").endswith("/")
         top = held[-1] if held else None
@@ -88,7 +144,7 @@ def _cut_raw(page: str) -> str:
             end = _CLOSING[tag].search(page, at)
             at = end.end() if end else len(page)
             cuts.append((start, at))
-        elif tag in _HOLDING or tag in _INTEGRATED and many["svg"] + many["math"]:
+        elif tag in _HOLDING or tag in _INTEGRATED and many["svg"]:
             if not closing:
                 if not empty or not (tag in _FOREIGN or foreign):
                     held.append(_Open(tag, start, at))
@@ -132,7 +188,10 @@ class _Open:
     inside: dict[str, int] = field(default_factory=dict)
 
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag, a comment, or the start of a tag that has no end.
+_TAG = re.compile(_TAG_PATTERN + r"|<(?=/?[a-zA-Z])", re.S)
+_START = re.compile(r"<(?=/?[a-zA-Z]|\?|!(?!--))")
+_EVENT = re.compile(r"[>\"']")
 _CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _REACHING}
 
 
@@ -140,6 +199,7 @@ def parse(page: str) -> list[Node]:
     """Elements and, below them, text blocks (tag ``#text``) in page order; malformed markup is read leniently."""
     nodes = [Node("#root", (), -1, 0)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # inline elements stand for the block they are in
+    places: dict[str, list[int]] = {}  # of each tag, and of all blocks as "", in the stack
     block: Node | None = None
     links = 0
 
@@ -148,18 +208,29 @@ def parse(page: str) -> list[Node]:
         for tag, _ in stack[place:]:
             if tag == "a":
                 links = max(0, links - 1)
+            places[tag].pop()
             if tag not in _INLINE:
+                places[""].pop()
                 block = None
         del stack[place:]
 
-    for match in _TOKEN.finditer(_cut_raw(page)):
+    def opened(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in _INLINE:
+            places.setdefault("", []).append(len(stack))
+        stack.append((tag, node))
+
+    def last(*tags: str) -> int:
+        return max(places[tag][-1] if places.get(tag) else 0 for tag in tags)
+
+    for match in _tokens(_cut_raw(page)):
         closing, tag, rest, text = match.groups()
         if text is not None:
             if block is None and text.isspace():
                 continue
             if block is None:
                 parent = stack[-1][1]
-                block = Node("#text", (), parent, nodes[parent].depth + 1)
+                block = Node("#text", (), parent, nodes[parent].depth + 1, under=nodes[parent].under)
                 nodes[parent].kids.append(len(nodes))
                 nodes.append(block)
             block.text.append(text)
@@ -170,49 +241,35 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if closing:
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place][0] == tag:
-                    close(place)
-                    break
-                if tag in _INLINE and stack[place][0] not in _INLINE:
-                    break
-            else:
-                if tag == "p":
-                    block = None
+            place = last(tag)
+            if place and (tag not in _INLINE or place > last("")):
+                close(place)
+            elif tag == "p":
+                block = None
             continue
         if tag == "br":
             if block is not None:
                 block.text.append(" ")
             continue
-        if tag in _CLOSES_P:
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place][0] == "p":
-                    close(place)
-                    break
-                if stack[place][0] not in _INLINE:
-                    break
-        if tag in _SAME:
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place][0] in _SAME[tag]:
-                    close(place)
-                    break
-                if stack[place][0] in _SCOPES[tag]:
-                    break
+        if tag in _CLOSES_P and stack[last("")][0] == "p":
+            close(last(""))
+        if tag in _SAME and last(*_SAME[tag]) > last(*_SCOPES[tag]):
+            close(last(*_SAME[tag]))
         if tag in _VOID:
             if tag not in _INLINE:
                 block = None
             continue
         if tag in _INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            opened(tag, stack[-1][1])
         elif not rest.endswith("/") or tag in _CLOSES_P:
             block = None
             found = _ATTRIBUTE.findall(rest) if "=" in rest else []
             words = tuple(dict.fromkeys(_WORDS.findall(" ".join("".join(values) for _, *values in found).lower())))
             parent = stack[-1][1]
             nodes[parent].kids.append(len(nodes))
-            nodes.append(Node(tag, words, parent, nodes[parent].depth + 1))
-            stack.append((tag, len(nodes) - 1))
+            nodes.append(Node(tag, words, parent, nodes[parent].depth + 1, under=tag if tag in _FURNITURE else nodes[parent].under))
+            opened(tag, len(nodes) - 1)
     for node in nodes:
         if node.tag == "#text":
             raw = "".join(node.text)
@@ -233,12 +290,23 @@ def features(nodes: list[Node], place: int) -> list[str]:
     node = nodes[place]
     found = [f"tag={node.tag}", f"links={int(4 * node.linked / max(1, node.chars))}"]
     found.extend(f"word={word}" for word in node.words)
+    if node.tag == "article":
+        found.append(f"article in={nodes[node.parent].tag}")
+    found.extend(f"head={word}" for word in _heading(nodes, node))
     if node.tag == "#text":
         parent = nodes[node.parent]
-        found += [f"in={parent.tag}", f"chars={_bin(node.chars / 8)}"]
+        found += [f"in={parent.tag}", f"under={node.under}", f"chars={_bin(node.chars / 8)}"]
     return found
 
 
+def _heading(nodes: list[Node], node: Node) -> list[str]:
+    """Words of the short heading that an element begins with: a part without a name often says there what it is."""
+    first = nodes[node.kids[0]] if node.kids else node
+    if first.tag not in _HEADINGS or len(first.kids) != 1 or first.chars > HEADING_CHARS:
+        return []
+    return list(dict.fromkeys(_WORDS.findall(" ".join(nodes[first.kids[0]].text).lower())))
+
+
 Weights = dict[str, float]
 
 
@@ -284,11 +352,13 @@ def marginals(nodes: list[Node], weights: Weights, scores: list[float] | None =
 
 
 def train(pages: list[list[Node]], rounds: int = ROUNDS) -> Weights:
-    """Maximum likelihood with a small ridge, page by page with steps scaled per weight."""
+    """Maximum likelihood with a small ridge, page by page with steps scaled per weight; the mean of the later half of the rounds."""
+    mean: Weights = {}
+    later = rounds - rounds // 2
     weights: Weights = {"edge01": 0.0, "edge10": 0.0, "edge11": 0.0}
     squares: dict[str, float] = {}
     described = [[features(nodes, i) for i in range(len(nodes))] for nodes in pages]
-    for _ in range(rounds):
+    for number in range(rounds):
         for nodes, found in zip(pages, described, strict=True):
             scores = [sum(weights.get(f, 0.0) for f in own) for own in found]
             probability, expected = marginals(nodes, weights, scores)
@@ -303,11 +373,15 @@ def train(pages: list[list[Node]], rounds: int = ROUNDS) -> Weights:
                     gradient[key] = gradient.get(key, 0.0) + 1
             for key, value in expected.items():
                 gradient[key] = gradient.get(key, 0.0) - value
+            share = min(1.0, PAGE_NODES / len(nodes))  # a long page is no more than PAGE_NODES nodes of evidence
             for key, value in gradient.items():
-                value -= 0.01 * weights.get(key, 0.0)
+                value = share * value - 0.01 * weights.get(key, 0.0)
                 squares[key] = squares.get(key, 1e-3) + value * value
                 weights[key] = weights.get(key, 0.0) + 0.5 * value / math.sqrt(squares[key])
-    return weights
+        if number >= rounds - later:
+            for key, value in weights.items():
+                mean[key] = mean.get(key, 0.0) + value / later
+    return mean
 
 
 # Layouts of the training pages: words that class and id attributes take, by what the element is for.
@@ -322,6 +396,8 @@ _ASIDE_NAMES = {
     "social": "share sharing social follow buttons",
     "form": "form search login contact field input",
 }
+#: Headings over readers' comments, and over parts of the page about other articles, that need not have a name.
+_TALK = "{n} comments|comments|{n} replies|{n} responses|leave a reply|discussion|join the discussion|reader comments".split("|")
 _BODY_NAMES = "article content post entry body main story text page single blog news".split()
 _ASIDE_TAGS = {"menu": ("nav", "ul", "div"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"),
                "notice": ("div", "section", "aside"), "advert": ("div", "aside", "section"), "comments": ("section", "div", "ol"), "social": ("div", "ul"), "form": ("form",)}
@@ -366,13 +442,24 @@ def labelled_page(rng: random.Random) -> list[Node]:
             inside = "<h3>" + _prose(rng, 1, 2) + "</h3>" + inside
         return f"<{tag}{name}>{inside}</{tag}>"
 
-    body = []
+    def talk() -> str:
+        """Readers' comments, each an article of its own, under a heading that alone tells what they are."""
+        tag = rng.choice(("section", "div", "section"))
+        level = rng.choice(("h2", "h3", "h4"))
+        name = named("comments") if rng.random() < 0.3 else ""
+        title = rng.choice(_TALK).format(n=rng.randint(1, 40)).capitalize()
+        own = rng.choice(("article", "article", "div", "li"))
+        said = [f"<{own}>{rng.choice(('<b>', '<header>', ''))}{_prose(rng, 1, 3)}<p>{_prose(rng, 2, 40)}</p></{own}>" for _ in range(rng.randint(1, 5))]
+        inside = "".join(said)
+        return f"<{tag}{name}><{level}>{title}</{level}>{f'<ul>{inside}</ul>' if own == 'li' else inside}</{tag}>"
+
+    body, longest = [], rng.choice((90, 90, 90, 90, 6))
     if rng.random() < 0.8:
         body.append(f"<h1>{mark(_prose(rng, 1, 16))}</h1>")
     for _ in range(rng.randint(1, 9)):
         kind = rng.random()
         if kind < 0.65:
-            text = _prose(rng, 1, 90)
+            text = _prose(rng, 1, longest)
             if rng.random() < 0.15:
                 text = f"<b>{text}"
             if rng.random() < 0.1:
@@ -380,16 +467,21 @@ def labelled_page(rng: random.Random) -> list[Node]:
             body.append(f"<p>{mark(text)}" + ("</p>" if rng.random() < 0.8 else "<br>"))
         elif kind < 0.75:
             body.append(f"<h2>{mark(_prose(rng, 1, 6))}</h2>")
-        elif kind < 0.83:
+        elif kind < 0.81:
             body.append("<ul>" + "".join(f"<li>{mark(_prose(rng, 1, 20))}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
-        elif kind < 0.88:
+        elif kind < 0.86:
+            links = [f'<li><a href="#">{mark(_prose(rng, 1, 8))}</a></li>' for _ in range(rng.randint(1, 5))]
+            body.append(f"<ul>{''.join(links)}</ul>")
+        elif kind < 0.89:
             body.append(f"<blockquote><p>{mark(_prose(rng, 3, 30))}</p></blockquote>")
         elif kind < 0.92:
             body.append("<table><tr>" + "".join(f"<td>{mark(_prose(rng, 1, 3))}</td>" for _ in range(3)) + "</tr></table>")
         else:
             body.append(aside(rng.choice(("advert", "social", "sidebar", "notice"))))
+        if rng.random() < 0.04:
+            body.append("<button>" + _prose(rng, 1, 2) + "</button>")
     if rng.random() < 0.2:
-        body.append(aside("comments"))
+        body.append(aside("comments") if rng.random() < 0.5 else talk())
     core = "".join(body)
     tag = rng.choice(("article", "article", "main", "div", "section"))
     name = "" if tag in ("article", "main") and rng.random() < 0.6 else f' class="{" ".join(rng.sample(_BODY_NAMES, rng.randint(1, 2)))}"'
@@ -398,6 +490,8 @@ def labelled_page(rng: random.Random) -> list[Node]:
         core = f"<main>{core}</main>" if tag != "main" else f'<div class="wrapper container">{core}</div>'
     before = [aside(k) for k in ("header", "menu", "advert", "notice", "form") if rng.random() < 0.6]
     after = [aside(k) for k in ("comments", "sidebar", "advert", "social", "footer", "notice") if rng.random() < 0.6]
+    if rng.random() < 0.3:
+        after.insert(0, talk())
     nodes = parse(f"<html><body>{''.join(before)}{core}{''.join(after)}</body></html>")
     for i in range(len(nodes) - 1, 0, -1):
         node = nodes[i]
