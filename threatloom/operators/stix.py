@@ -177,23 +177,16 @@ def reports(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def dedup_objects(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Observables of a bundle, each once, with the place it was first seen at.
+def first_places(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Identities of a bundle's observables, each once, with the place it was first seen at; no content is moved.
 
-    Equal ids have equal content, so the content can be grouped by and only the least place is aggregated:
-    one number, which a hash aggregation combines on the map side without sorting the objects.
+    Only the least place is aggregated: one number, which a hash aggregation combines on the map side without sorting.
     """
     keys = keys or ["source_name"]
     placed = entries.select(*keys, "entry_ord", F.posexplode("observables").alias("place", "o"))
     order = F.col("entry_ord").cast("decimal(38,0)") * F.lit(_PLACES) + F.col("place")
-    rows = placed.select(
-        *keys,
-        F.col("o.id").alias("id"),
-        F.col("o.type").alias("type"),
-        F.to_json("o").alias("json"),
-        order.cast("decimal(38,0)").alias("order"),
-    )
-    least = rows.groupBy(*keys, "id", "type", "json").agg(F.min("order").alias("order"))
+    rows = placed.select(*keys, F.col("o.id").alias("id"), F.col("o.type").alias("type"), order.cast("decimal(38,0)").alias("order"))
+    least = rows.groupBy(*keys, "id", "type").agg(F.min("order").alias("order"))
     place = F.pmod(F.col("order"), F.lit(_PLACES).cast("decimal(38,0)"))
     return least.select(
         *keys,
@@ -201,10 +194,31 @@ def dedup_objects(entries: DataFrame, keys: list[str] | None = None) -> DataFram
         ((F.col("order") - place) / F.lit(_PLACES)).cast("long").alias("entry_ord"),
         place.cast("int").alias("place"),
         "type",
-        "json",
     )
 
 
+def dedup_objects(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Observables of a bundle, each once as first seen, with their JSON.
+
+    Places are found on identities alone. The content is then fetched from the entries that hold a first place, by (keys,
+    entry_ord), which tells the entries of a bundle apart; JSON is written for these places only.
+    """
+    keys = keys or ["source_name"]
+    own = [*keys, "entry_ord"]
+    firsts = first_places(entries, keys).groupBy(*own).agg(F.collect_list("place").alias("places"))  # no more than the entry's observables
+    held = entries.select(*keys, F.col("entry_ord").cast("long").alias("entry_ord"), "observables").join(firsts, own)
+    rows = held.select(*own, F.explode("places").alias("place"), "observables").select(*own, "place", F.get("observables", F.col("place")).alias("o"))
+    return rows.select(*keys, F.col("o.id").alias("id"), "entry_ord", "place", F.col("o.type").alias("type"), F.to_json("o").alias("json"))
+
+
+def object_kinds(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Keys and type of every object of every bundle, one row each, for counting without content."""
+    keys = keys or ["source_name"]
+    kinds = identities(entries, keys).select(*keys, F.lit("identity").alias("type"))
+    kinds = kinds.unionByName(first_places(entries, keys).select(*keys, "type"))
+    return kinds.unionByName(reports(entries, keys).select(*keys, F.lit("report").alias("type")))
+
+
 def _json(stix_type: str, fields: list[str]) -> Column:
     return F.to_json(F.struct(F.lit(stix_type).alias("type"), F.lit("2.1").alias("spec_version"), *fields))
 

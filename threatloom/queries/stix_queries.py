@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threatloom import fixed_values as V
 from threatloom.operators import stix as X
 from threatloom.operators import suricata as R
+from threatloom.operators.numbering import number_rows
 from threatloom.queries import corpora as C
 from threatloom.queries import sql as Q
 from threatloom.queries.catalog import query
@@ -21,7 +22,7 @@ def stix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(X.with_observables(C.entries(spark, sf_dir)))
 
 
-# (type, value column, canonical name of the id) of an entry's observables, in order.
+# (type, value column, canonical name of the id) of an entry's observables, in order; and their JSON behind the id.
 _ADDRESS = [("ipv4-addr", v, Q.one_value(v)) for v in ("ipv4", "ipv4_b", "ipv4_b")]
 _TRAFFIC_NAME = (
     f"('{{\"dst_port\":' || port || ',\"dst_ref\":\"' || {Q.stix_id('ipv4-addr', Q.one_value('ipv4_b'))} || "
@@ -48,13 +49,25 @@ OBSERVABLES = [
     ("domain-name", "domain", Q.one_value("domain")),
     ("x-ti-observable", "priority", _GENERIC),
 ]
+_TAILS = {
+    "network-traffic": f"',\"dst_ref\":\"' || {Q.stix_id('ipv4-addr', Q.one_value('ipv4_b'))} || '\",\"dst_port\":' || port || ',\"protocols\":[\"ipv4\"]'",
+    "x-ti-observable": "',\"observable_type\":\"campaign\",\"value\":\"' || priority || '\"'",
+}
+
+
+def _tail(kind: str, value: str) -> str:
+    if kind == "file":
+        return f"',\"hashes\":{{\"{V.HASH_NAMES[value]}\":\"' || {value} || '\"}}'"
+    return _TAILS.get(kind, f"',\"value\":' || CAST(to_json({value}) AS VARCHAR)")
+
+
 _OBS_SQL = " UNION ALL ".join(
-    f"SELECT k, priority, {place} AS place, '{kind}' AS type, {Q.stix_id(kind, name)} AS id, {value} AS value FROM indicators "
+    f"SELECT k, priority, {place} AS place, '{kind}' AS type, {Q.stix_id(kind, name)} AS id, {value} AS value, {_tail(kind, value)} AS tail FROM indicators "
     "WHERE priority <> '5-LOW' AND k % 11 <> 0"
     for place, (kind, value, name) in enumerate(OBSERVABLES)
 )
 _FIRST_SQL = (
-    "SELECT 'Feed ' || priority AS source_name, id, type, min((k, place)) AS first, any_value(value) AS value FROM obs "
+    "SELECT 'Feed ' || priority AS source_name, id, type, min((k, place)) AS first, any_value(value) AS value, any_value(tail) AS tail FROM obs "
     "GROUP BY priority, id, type"
 )
 
@@ -121,7 +134,7 @@ def observable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_objects("SELECT source_name, id, type, first[1] AS entry_ord, first[2] AS place FROM first_seen"),
 )
 def dedup_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.dedup_objects(stix_entries(spark, sf_dir)).select("source_name", "id", "type", "entry_ord", "place")
+    return X.first_places(stix_entries(spark, sf_dir)).select("source_name", "id", "type", "entry_ord", "place")
 
 
 _REFS_SQL = (
@@ -188,22 +201,39 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _head(kind: str, stix_id: str) -> str:
+    return f"'{{\"type\":\"' || {kind} || '\",\"spec_version\":\"2.1\",\"id\":\"' || {stix_id} || '\"'"
+
+
+def _members(**values: str) -> str:
+    return " || ".join(f"',\"{name}\":' || CAST(to_json({value}) AS VARCHAR)" for name, value in values.items()) + " || '}'"
+
+
+_IDENTITY_JSON = _head("'identity'", "id") + " || " + _members(created="created", modified="created", name="source_name", identity_class=f"'{V.IDENTITY_CLASS}'")
+_REPORT_JSON = _head("'report'", _REPORT_ID) + " || " + _members(
+    created_by_ref=_IDENTITY_ID, created=_CREATED, modified=_CREATED, name="title", description=_DESCRIPTION, report_types=f"['{V.REPORT_TYPE}']",
+    published=f"({_DAY.format('collected_at')} || 'Z')", object_refs="refs",
+    external_references=f"[{{'source_name': source_name, 'description': '{V.REFERENCE_DESCRIPTION}', 'url': source_url}}]",
+)
 _OBJECTS_SQL = (
-    f"SELECT source_name, 0 AS section, 0 AS entry_ord, 0 AS place, id, 'identity' AS type FROM ({_IDENTITIES_SQL}) AS i "
-    "UNION ALL SELECT source_name, 1, first[1], first[2], id, type FROM first_seen UNION ALL "
-    f"SELECT source_name, 2, entry_ord, 0, {_REPORT_ID}, 'report' FROM entries WHERE has_iocs"
+    f"SELECT source_name, 0 AS section, 0 AS entry_ord, 0 AS place, id, 'identity' AS type, md5({_IDENTITY_JSON}) AS json_md5 "
+    f"FROM ({_IDENTITIES_SQL}) AS i UNION ALL "
+    f"SELECT source_name, 1, first[1], first[2], id, type, md5({_head('type', 'id')} || tail || '}}') FROM first_seen UNION ALL "
+    f"SELECT source_name, 2, entry_ord, 0, {_REPORT_ID}, 'report', md5({_REPORT_JSON}) FROM entries JOIN ({_REFS_SQL}) AS r ON r.k = entry_ord "
+    "WHERE has_iocs"
 )
 OBJECT_COUNTS_SQL = with_objects(f"SELECT source_name, type, count(*) AS n FROM ({_OBJECTS_SQL}) AS o GROUP BY source_name, type")
 
 
 @query("stx_08_bundle_objects", with_objects(_OBJECTS_SQL))
 def bundle_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.bundle_objects(stix_entries(spark, sf_dir)).drop("json")
+    objects = X.bundle_objects(stix_entries(spark, sf_dir))
+    return objects.withColumn("json_md5", F.md5("json")).drop("json")
 
 
 @query("stx_09_bundle_stats", OBJECT_COUNTS_SQL)
 def bundle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.bundle_stats(X.bundle_objects(stix_entries(spark, sf_dir)))
+    return X.bundle_stats(X.object_kinds(stix_entries(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- rules
@@ -266,13 +296,11 @@ def rule_rows_of_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sur_04_distinct_sorted",
-    with_objects(f"SELECT ioc_type, count(*) AS n, min(indicator) AS first, max(indicator) AS last FROM ({_ROWS_SQL}) AS x GROUP BY ioc_type"),
+    with_objects(f"SELECT ioc_type, indicator, reference_url, {_ORDERED} - 1 AS position FROM ({_ROWS_SQL}) AS x"),
 )
 def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.rule_rows(_objects(spark, sf_dir), KEYS).orderBy("ioc_type", "indicator", "reference_url")
-    return rows.groupBy("ioc_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("indicator").alias("first"), F.max("indicator").alias("last")
-    )
+    """Every distinct row with its position in the sorted whole."""
+    return number_rows(R.rule_rows(_objects(spark, sf_dir), KEYS), ["ioc_type", "indicator", "reference_url"], "position")
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
