@@ -16,6 +16,7 @@ from threatloom.operators import incremental as I
 from threatloom.operators import index as X
 from threatloom.operators import stix as S
 from threatloom.operators import suricata as R
+from threatloom.operators.joins import may_be_among
 from threatloom.operators.numbering import number_rows
 from threatloom.plans.full_run import run_feeds
 from threatloom.sources import bundles, registry, snapshots
@@ -406,3 +407,22 @@ def test_empty_registry_is_no_error(spark):
     documents = spark.createDataFrame([("list", "[]"), ("object", '{"sources": []}'), ("neither", "{}")], "name string, value string")
     rows = parse_registry(documents.withColumnRenamed("name", "file")).collect()
     assert [(r.file, r.load_error) for r in rows] == [("neither", "no list of sources")]
+
+
+def test_sketch_keeps_every_wanted_key(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("body").alias("content"))
+    for count in (0, 1, 3_000):
+        wanted = spark.range(count).select(F.concat(F.lit("u"), F.col("id") * 5).alias("x"))
+        kept = may_be_among(keys, "url", wanted)
+        assert kept.columns == keys.columns
+        assert wanted.join(kept, wanted.x == kept.url, "left_semi").count() == count
+        assert kept.count() <= count + 1_000  # of 20,000, one in 32
+
+
+def test_undated_and_repeated_pages(spark):
+    new = spark.createDataFrame([("A", "u1"), ("B", "u1"), ("A", None)], "source_name string, publication_url string")
+    rows = [("u1", 1, "old"), ("u1", 3, "last"), ("u1", 3, "last"), ("u1", None, "undated"), ("u2", 9, "x"), (None, 9, "y")]
+    landed = spark.createDataFrame(rows, "url string, landed_at int, content string")
+    matched = I.match_entries(new, landed)
+    assert sorted((r.source_name, r.landed_at, r.content) for r in matched.collect()) == [("A", 3, "last"), ("B", 3, "last")]
+    assert I.match_entries(new.limit(0), landed).count() == I.match_entries(new, landed.limit(0)).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.expressions import empty_array, let
+from threatloom.operators.joins import may_be_among
 from threatloom.operators.numbering import number_rows
 from threatloom.session import checkpointed
 
@@ -188,21 +189,21 @@ def compact_snapshots(snapshots: DataFrame, replayed: DataFrame) -> DataFrame:
     return snapshots.join(redundant, ["source_name", "collected_at"], "left_anti")
 
 
-def one_page_per_url(landed: DataFrame) -> DataFrame:
-    """The page of each URL that landed last by ``landed_at``, if there is such a column; ties go to the largest hash of the row."""
-    own = [F.col(name) for name in landed.columns if name != "url"]
-    order = F.struct(*[F.col(name) for name in landed.columns if name == "landed_at"], F.xxhash64(*own))
-    return landed.groupBy("url").agg(F.max_by(F.struct(*own), order).alias("_page")).select("url", "_page.*")
-
-
 def match_entries(new_entries: DataFrame, landed: DataFrame) -> DataFrame:
     """New entries with one landed page of their URL; the page's own columns come along.
 
-    Pages are reduced to the new URLs before their bodies meet anything else.
+    A sketch of the new URLs drops other pages where they are read, so their bodies are in no shuffle. Of the pages of a URL the last
+    by ``landed_at`` counts, if there is such a column; ties go to the largest hash of the row. It is chosen on these two values;
+    bodies are joined to the chosen ones last.
     """
-    wanted = new_entries.select(F.col("publication_url").alias("url")).distinct()
-    pages = one_page_per_url(landed.join(wanted, "url", "left_semi"))
-    return new_entries.join(pages, new_entries["publication_url"] == pages["url"])
+    wanted = checkpointed(new_entries.select(F.col("publication_url").alias("url")).filter("url is not null").distinct())
+    own = [F.col(name) for name in landed.columns if name != "url"]
+    pages = may_be_among(landed.withColumn("_hash", F.xxhash64(*own)), "url", wanted)
+    order = F.struct(*[F.col(name) for name in landed.columns if name == "landed_at"], F.col("_hash"))
+    chosen = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.max(order)["_hash"].alias("_hash"))
+    # The hash covers the whole row, so rows equal in it are repeats.
+    bodies = pages.join(chosen, ["url", "_hash"], "left_semi").dropDuplicates(["url", "_hash"]).drop("_hash")
+    return new_entries.join(bodies, new_entries["publication_url"] == bodies["url"])
 
 
 def missing_entries(new_entries: DataFrame, landed: DataFrame) -> DataFrame:

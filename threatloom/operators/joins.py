@@ -1,8 +1,8 @@
-"""Size-checked broadcasts and input spreading."""
+"""Size-checked broadcasts, pruning by a sketch and input spreading."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 200_000
@@ -13,6 +13,32 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Bits of a sketch per key, the most bits of one (32 MB), and those of one row of it, as Spark's bitmap functions have it.
+SKETCH_BITS, MOST_SKETCH_BITS, _ROW_BITS = 32, 1 << 28, 1 << 15
+
+
+def may_be_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be one of ``wanted`` (one column), without a shuffle of ``df``.
+
+    The hashes of the wanted keys are set in a bitmap that is broadcast: SKETCH_BITS per key let about one other key in SKETCH_BITS
+    pass, and its size is bounded, so that beyond 2^23 keys more pass. A join on the key has to follow.
+    """
+    count = wanted.count()
+    bits = _ROW_BITS
+    while bits < min(count * SKETCH_BITS, MOST_SKETCH_BITS):
+        bits *= 2
+    spot = lambda column: F.pmod(F.xxhash64(column.cast("string")), F.lit(bits))
+    own = wanted.select(spot(F.col(wanted.columns[0])).alias("_spot"))
+    rows = own.groupBy(F.expr(f"_spot div {_ROW_BITS}").alias("_row")).agg(F.bitmap_construct_agg(F.col("_spot") % _ROW_BITS).alias("_bits"))
+    placed = df.withColumn("_spot", spot(F.col(key))).withColumn("_row", F.expr(f"_spot div {_ROW_BITS}"))
+    return placed.join(F.broadcast(rows), "_row").filter(_bit("_bits", F.col("_spot") % _ROW_BITS)).drop("_row", "_spot", "_bits")
+
+
+def _bit(bits: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before costly work per row, when the input has fewer splits than cores.
 
