@@ -248,3 +248,28 @@ def test_training_rows_do_not_grow_with_texts(spark):
         assert len(names) == 16 and of_grade.sum() == 90
         sizes.append(max(len(r.held) for r in df.mapInArrow(quality_classifier._reduced(names), "grade int, held binary").collect()))
     assert sizes[0] == sizes[1] <= 2 * 16
+
+
+def test_twins_on_documents(spark, tmp_path):
+    """Queries on windows, metrics and links against their twins, on texts with repeats, odd white space and nothing in them."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)] + ["A", "é", "#!", "\u00a0x", "B.C", "𝒳"]
+    long = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(6)]
+    texts = [None, "", " \n\t", "one", "A b", "# * $ | <", "a\n" * 30, "LOUD " * 20]
+    for _ in range(60):
+        own = rng.choice(long).split(" ")
+        at = rng.randint(0, 60)
+        own[at : at + rng.randint(0, 30)] = [rng.choice(words) for _ in range(rng.randint(0, 4))]
+        texts.append(rng.choice([" ", "\n", "  "]).join(own))
+    texts += [texts[9], texts[9].upper(), long[0] + " " + long[0]]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, w string")
+    items = [(1, long[0][:120]), (2, "one"), (3, None), (10, long[1][40:160]), (4, long[0][:120]), (5, " ")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    repeats = _against_twin(spark, "op4_substring_dedup", tmp_path / "a", documents=df)
+    assert 0 < sum(r.n_removed > 0 for r in repeats) < len(texts)
+    kept = [r.kept for r in _against_twin(spark, "op7_rule_cascade", tmp_path / "b", documents=df)]
+    assert True in kept and False in kept
+    hits = _against_twin(spark, "op8_fm_decontamination", tmp_path / "c", documents=df, benchmark=items)
+    assert {r.n_items for r in hits} >= {0, 1, 2}
+    linked = _against_twin(spark, "op10_prefix_tree_join", tmp_path / "d", documents=df)
+    assert 10 < len({r.component_id for r in linked}) < len(texts)

@@ -22,6 +22,7 @@ from threatloom.llm import (
     structure_repair,
     substring_dedup,
 )
+from threatloom.llm.document_twins import BENCHMARK_SQL, JOIN_SQL, REPEATS_SQL, RULES_SQL
 from threatloom.llm.twins import CREDENTIALS_SQL, REPAIR_SQL, SEARCH_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +68,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
-@_query("op4_substring_dedup")
+@_query("op4_substring_dedup", REPEATS_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -83,15 +84,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair_roles(_table(spark, sf_dir, "conversations"))
 
 
-@_query("op7_rule_cascade")
+@_query("op7_rule_cascade", RULES_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(_table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
-    )
+    # Which rule rejects first follows from the measured order, so it is no part of the result.
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@_query("op8_fm_decontamination")
+@_query("op8_fm_decontamination", BENCHMARK_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long").alias("n_items")
@@ -103,7 +103,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract_content(_table(spark, sf_dir, "pages"))
 
 
-@_query("op10_prefix_tree_join")
+@_query("op10_prefix_tree_join", JOIN_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
