@@ -11,12 +11,16 @@ at most two matrices per partition, and each part is then solved between its ent
 Output is one row per source or inserted turn, in the order (turn, step); its rendered pieces put together give the repaired
 conversation, so no row grows with a merged run.
 
+A text cannot forge a turn: ``<|`` in it is rendered as ``<\\|`` (and ``<\\|`` with one more backslash, so ``unescaped`` gives the text
+back), and every ``<|`` of a rendered conversation is a marker of its own.
+
 Defined results: null conv_id is one conversation of its own; null or unknown roles have to be relabelled; null text is empty; ties of
-turn are ordered by role, then text. Repeated rows are turns like others. Of equal costs the least state wins.
+turn are ordered by role, then by a hash of the text. Repeated rows are turns like others. Of equal costs the least state wins.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,7 @@ _OPEN: dict[tuple[int, int], tuple[int, ...]] = {
     (USER, USER): (ASSISTANT,), (USER, ASSISTANT): (), (ASSISTANT, USER): (), (ASSISTANT, ASSISTANT): (USER,),
 }
 _CLOSE = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
+_MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = "turn long, step int, role string, action string, rendered string"
 
 
@@ -45,6 +50,15 @@ def known_role(role: str | None) -> int:
     return _NAMES.get((role or "").strip().lower(), START)
 
 
+def escaped(text: str) -> str:
+    """The text without ``<|``."""
+    return _MARK.sub(r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def step_cost(state: int, role: int, label: int) -> tuple[int, bool]:
     """Least cost of taking a turn of ``role`` as ``label`` from ``state``, and whether it is merged."""
     cost = 0 if role == label else RELABEL
@@ -88,6 +102,7 @@ def labels(roles: list[int], entry: int, leave: int | None) -> list[int]:
 def repaired(turns: list[tuple[int | None, int, str]], entry: int = START, leave: int | None = None, ends: bool = True) -> list[tuple]:
     """(turn, step, role, action, rendered) rows for turns (turn, role, text) of one conversation or a part of it."""
     rows, state = [], entry
+    turns = [(turn, role, escaped(text)) for turn, role, text in turns]
     for (turn, role, text), label in zip(turns, labels([t[1] for t in turns], entry, leave), strict=True):
         merged = step_cost(state, role, label)[1]
         if merged:
@@ -119,15 +134,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iter
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matrices of the first and the last conversation of this partition."""
+    """Matrices of the first and the last conversation of this partition; only these may reach over its borders."""
     number, first, last = TaskContext.get().partitionId(), None, None
     for conv, rows in _parts(batches):
-        last = (conv, matrix([known_role(row[2]) for row in rows]).ravel().tolist())
+        last = (conv, bytes(known_role(row[2]) for row in rows))
         first = first or last
     found = [x for x in (first, last) if x is not None][: 1 if first is last else 2]
+    costs = [matrix(list(roles)).ravel().tolist() for _, roles in found]
     yield pa.RecordBatch.from_pydict(
         {"part": pa.array([number] * len(found), pa.int32()), "conv_id": pa.array([x[0] for x in found], pa.int64()),
-         "costs": pa.array([x[1] for x in found], pa.list_(pa.int64()))}
+         "costs": pa.array(costs, pa.list_(pa.int64()))}
     )
 
 
@@ -177,8 +193,10 @@ def repair_roles(df: DataFrame) -> DataFrame:
     """One row per turn of the repaired conversations, in the order (conv_id, turn, step)."""
     ship_package(df.sparkSession)
     turns = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    order = ["conv_id", "turn", "role", "text"]
-    placed = checkpointed(turns.repartitionByRange(*order).sortWithinPartitions(*order))  # so that parts stay where they are
+    # Bounds are drawn from hashes, not texts, and the row's number parts equal rows.
+    turns = turns.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = ["conv_id", "turn", "role", "_hash", "_row"]
+    placed = checkpointed(turns.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_row"))  # so that parts stay where they are
     rows = placed.mapInArrow(_summaries, "part int, conv_id long, costs array<long>").collect()  # at most two per partition
     borders = df.sparkSession.sparkContext.broadcast(_borders(rows))
     return placed.mapInArrow(_repair(borders), "conv_id long, " + _TURN)
