@@ -232,6 +232,13 @@ def test_rule_metrics(docs, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_rules_stand_by_rejections_per_cost_of_what_is_left():
+    # "b" rejects nothing that "a" lets through, "d" is dear; "c" and "e" reject nothing, the cheaper one is first.
+    verdicts = {(True, True, False, False, False): 9, (True, False, False, False, False): 1, (False, False, False, True, False): 3, (False,) * 5: 80}
+    assert quality_rules.by_rejections(verdicts, {"a": 1.0, "b": 1.0, "c": 2.0, "d": 4.0, "e": 0.5}) == ["a", "d", "e", "b", "c"]
+    assert quality_rules.by_rejections({}, {"z": 1.0, "y": 1.0}) == ["y", "z"]
+
+
 def test_cascade_does_not_depend_on_the_order(docs):
     rules = quality_rules.default_rules()
     metrics = quality_rules.with_metrics(docs)

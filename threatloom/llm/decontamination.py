@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index per shard of training texts, searched for all test phrases.
 
-A shard is some whole texts of a task, up to SHARD_WORDS words. Its alphabet is the words of the test phrases; all other words are
+A shard is some whole texts of a task, up to SHARD_BYTES bytes. Its alphabet is the words of the test phrases; all other words are
 separators, and stretches too short to hold any phrase are left out of the index, which changes no result. Phrases are
 found by backward search through wavelet-tree ranks, located by sampled suffix positions, and their places
 merged to removal spans.
