@@ -36,18 +36,26 @@ def previous_value(df: DataFrame, keys: list[str], order: str, bucket: Column, n
     return found.withColumn(name, F.coalesce(name, "_handed")).drop("_bucket", "_handed")
 
 
-def with_previous(snapshots: DataFrame, order: str = "collected_at") -> DataFrame:
-    """Add ``previous_at``: the snapshot before, of the same source and kind; null for the first."""
-    return previous_value(snapshots, ["source_name", "snapshot_kind"], order, F.to_date(order), "previous_at")
+def with_previous(snapshots: DataFrame) -> DataFrame:
+    """Add ``previous_at`` and ``previous_sha256_hex``: the snapshot before, of the same source and kind; null for the first.
+
+    Snapshots of one time stand in the order of their digests.
+    """
+    rows = snapshots.withColumn("_at", F.struct("collected_at", "sha256_hex"))
+    found = previous_value(rows, ["source_name", "snapshot_kind"], "_at", F.to_date("collected_at"), "_previous")
+    before = {"previous_at": F.col("_previous.collected_at"), "previous_sha256_hex": F.col("_previous.sha256_hex")}
+    return found.withColumns(before).drop("_at", "_previous")
 
 
-def diff_entries(current: DataFrame, previous: DataFrame) -> DataFrame:
+def diff_entries(current: DataFrame, previous: DataFrame, digests: bool = False) -> DataFrame:
     """Entries of ``current`` whose URL the snapshot named by their ``previous_at`` does not list.
 
+    With ``digests`` that snapshot is named by ``previous_sha256_hex`` as well, for sources with several of one time.
     Without a previous snapshot everything is new. The join key holds the URL, so no source is a hot key.
     """
-    listed = previous.select("source_name", F.col("collected_at").alias("previous_at"), "publication_url")
-    return current.join(listed, ["source_name", "previous_at", "publication_url"], "left_anti")
+    named = {"collected_at": "previous_at"} | ({"sha256_hex": "previous_sha256_hex"} if digests else {})
+    listed = previous.select("source_name", *(F.col(a).alias(b) for a, b in named.items()), "publication_url")
+    return current.join(listed, ["source_name", *named.values(), "publication_url"], "left_anti")
 
 
 def _is_new(last_seen: Column, baseline: Column) -> Column:

@@ -51,6 +51,34 @@ def previous_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_previous(_snapshots(spark, sf_dir)).select("source_name", shown("collected_at"), shown("previous_at"))
 
 
+_TIED_SQL = (
+    "SELECT source_name, collected_at, sha256(CAST(user_id % 2 AS STRING)) AS sha256_hex, publication_url "
+    f"FROM (SELECT *, CAST(split_part(publication_url, '/', 5) AS BIGINT) AS user_id FROM ({DAILY_SQL}) AS d) AS u"
+)
+
+
+@query(
+    "inc_01_tied_snapshots",
+    f"WITH e AS ({_TIED_SQL}), s AS (SELECT DISTINCT source_name, collected_at, sha256_hex FROM e), p AS (SELECT *, "
+    "lag(collected_at) OVER before AS previous_at, lag(sha256_hex) OVER before AS previous_sha256_hex FROM s "
+    "WINDOW before AS (PARTITION BY source_name ORDER BY collected_at, sha256_hex)) "
+    f"SELECT source_name, {shown_sql('collected_at')}, sha256_hex, {shown_sql('previous_at')}, previous_sha256_hex, publication_url "
+    "FROM e JOIN p USING (source_name, collected_at, sha256_hex) WHERE NOT EXISTS (SELECT 1 FROM e AS b WHERE b.source_name = e.source_name "
+    "AND b.collected_at = p.previous_at AND b.sha256_hex = p.previous_sha256_hex AND b.publication_url = e.publication_url)",
+)
+def tied_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New entries where each source has two snapshots of one time: users with even and with odd ids."""
+    entries = C.event_snapshots(spark, sf_dir, *DAILY)
+    user = F.split("publication_url", "/")[4].cast("long")
+    entries = entries.withColumn("sha256_hex", F.sha2((user % 2).cast("string"), 256))
+    key = ["source_name", "collected_at", "sha256_hex"]
+    previous = I.with_previous(entries.select(*key).distinct().withColumn("snapshot_kind", F.lit("index"))).drop("snapshot_kind")
+    found = I.diff_entries(entries.join(previous, key), entries, digests=True)
+    return found.select(
+        "source_name", shown("collected_at"), "sha256_hex", shown("previous_at"), "previous_sha256_hex", "publication_url"
+    )
+
+
 _NEW_SQL = (
     f"SELECT e.source_name, e.collected_at, e.publication_url FROM ({DAILY_SQL}) AS e "
     f"JOIN ({_PREVIOUS_SQL}) AS p USING (source_name, collected_at) WHERE NOT EXISTS (SELECT 1 FROM ({DAILY_SQL}) AS b "

@@ -64,8 +64,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.indicators(spark, sf_dir).withColumn("r", F.col("k") % 3).withColumn("collected_at", at)
 
 
+_NO_ENCODING = "no-such-code"
+
+
 def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fetched listing page per order; some blank, some empty, some without their own post."""
+    """One fetched listing page per order; some blank, undecodable or empty, some without their own post."""
 
     def html(profile: str):
         post, again = _LINKS[profile]
@@ -84,13 +87,13 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _feed_name("c").alias("source_name"),
         _by_customer(lambda p: C.fill(_BASES[p])).alias("url"),
         F.encode(_by_customer(html), "UTF-8").alias("content"),
-        F.lit("utf-8").alias("encoding"),
+        F.when(F.col("k") % 50 == 11, F.lit(_NO_ENCODING)).otherwise(F.lit("utf-8")).alias("encoding"),
         "collected_at",
     )
 
 
 def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched entry pages: one per order's post, some missing or blank, and the feeds' recurring posts."""
+    """Fetched entry pages: one per order's post, some missing, blank or without content, and the feeds' recurring posts."""
     bulletins = None
     for profile in (V.S1, V.SL, V.PP):
         page = C.entry_pages(spark, sf_dir, profile).select("k", "html")
@@ -98,7 +101,7 @@ def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = rows.select("k", C.fill(_LINKS[profile][0]).alias("url")).join(page, "k")
         bulletins = part if bulletins is None else bulletins.unionByName(part)
     posts = bulletins.filter("k % 17 <> 0").select(
-        "url", F.when(F.col("k") % 19 == 0, F.lit("")).otherwise(F.col("html")).alias("html")
+        "url", F.when(F.col("k") % 19 == 0, F.lit("")).when(F.col("k") % 29 == 0, F.lit("<p>Moved.</p>")).otherwise(F.col("html")).alias("html")
     )
     customers = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.explode(F.array(*map(F.lit, range(3)))).alias("r"))
     again = customers.select(
@@ -125,7 +128,8 @@ _RUN_CTES = (
     # Runs of enabled feeds; post and again name the two links of a listing page.
     f"indicators AS ({C.INDICATORS_SQL}), "
     "runs AS (SELECT k, c, 'feed ' || CAST(c AS STRING) AS source_name, dated + to_seconds(k % 86400) AS collected_at, "
-    "CASE k % 50 WHEN 7 THEN 'empty response body' WHEN 9 THEN 'no index entries' END AS error, k % 4 <> 3 AS has_post, "
+    "CASE k % 50 WHEN 7 THEN 'empty response body' WHEN 9 THEN 'no index entries' "
+    f"WHEN 11 THEN 'unknown encoding: {_NO_ENCODING}' END AS error, k % 4 <> 3 AS has_post, "
     "'p' || CAST(k AS STRING) AS post, 'a' || CAST(k % 3 AS STRING) AS again FROM indicators "
     "WHERE c % 13 <> 0 AND c IN (SELECT c_custkey FROM customer)), "
     f"iocs AS ({_bulletin_rows()}), "
@@ -141,18 +145,20 @@ _LISTED_SQL = (
 )
 _JUDGED_CTES = (
     f"{replay_sql(_LISTED_SQL)}, fresh AS (SELECT source_name, collected_at, unnest(fresh) AS link FROM replayed), "
-    # A post's page is there unless it is missing or blank; a recurring post's page always is.
+    # A post's page is there unless it is missing, blank or hollow; a recurring post's page always is.
     "outcome AS (SELECT f.source_name, f.collected_at, f.link, r.k, f.link[1] = 'p' AND r.k % 17 = 0 AS missing, "
-    "f.link[1] = 'p' AND r.k % 17 <> 0 AND r.k % 19 = 0 AS blank FROM fresh AS f JOIN runs AS r USING (source_name, collected_at)), "
+    "f.link[1] = 'p' AND r.k % 17 <> 0 AND r.k % 19 = 0 AS blank, "
+    "f.link[1] = 'p' AND r.k % 17 <> 0 AND r.k % 19 <> 0 AND r.k % 29 = 0 AS hollow FROM fresh AS f JOIN runs AS r USING (source_name, collected_at)), "
     "per_run AS (SELECT source_name, collected_at, count(*) AS new, count(*) FILTER (NOT missing AND NOT blank) AS good, "
-    "max(CASE WHEN link[1] = 'p' AND NOT missing AND NOT blank THEN (SELECT count(*) FROM objects AS o WHERE o.k = outcome.k) ELSE 0 END) AS observed "
+    "count(*) FILTER (NOT missing AND NOT blank AND NOT hollow) AS parsed, "
+    "max(CASE WHEN link[1] = 'p' AND NOT missing AND NOT blank AND NOT hollow THEN (SELECT count(*) FROM objects AS o WHERE o.k = outcome.k) ELSE 0 END) AS observed "
     "FROM outcome GROUP BY source_name, collected_at)"
 )
 _RESULTS_SQL = (
     f"WITH {_JUDGED_CTES.replace('RECURSIVE ', f'RECURSIVE {_RUN_CTES}, ', 1)}, results AS (SELECT r.source_name, r.collected_at, "
     "r.error IS NULL AND NOT coalesce(p.kept, false) AS snapshot_deleted, "
     "CASE WHEN r.error IS NOT NULL THEN 0 WHEN has_post THEN 2 ELSE 1 END AS total_index_entries, "
-    "coalesce(n.new, 0) AS new_index_entries, coalesce(n.good, 0) AS fetched_entries, coalesce(n.good, 0) AS parsed_entries, "
+    "coalesce(n.new, 0) AS new_index_entries, coalesce(n.good, 0) AS fetched_entries, coalesce(n.parsed, 0) AS parsed_entries, "
     "CASE WHEN n.observed > 0 THEN n.observed + 2 ELSE 0 END AS stix_object_count, r.error IS NULL AS succeeded, "
     "r.error AS error_message FROM runs AS r LEFT JOIN replayed AS p USING (source_name, collected_at) "
     "LEFT JOIN per_run AS n USING (source_name, collected_at)) "
@@ -241,10 +247,12 @@ def _shown_results(results: DataFrame) -> DataFrame:
 @query(
     "run_02_failures",
     f"{_RESULTS_SQL} SELECT source_name, stage, count(*) AS failures FROM ("
-    "SELECT source_name, CASE error WHEN 'empty response body' THEN 'fetch_index' ELSE 'parse_index' END AS stage FROM runs "
-    "WHERE error IS NOT NULL UNION ALL SELECT source_name, 'fetch_entry' FROM outcome WHERE missing OR blank UNION ALL "
+    "SELECT source_name, CASE error WHEN 'empty response body' THEN 'fetch_index' WHEN 'no index entries' THEN 'parse_index' "
+    "ELSE 'decode_index' END AS stage FROM runs WHERE error IS NOT NULL "
+    "UNION ALL SELECT source_name, 'fetch_entry' FROM outcome WHERE missing OR blank "
+    "UNION ALL SELECT source_name, 'parse_entry' FROM outcome WHERE hollow UNION ALL "
     "SELECT o.source_name, 'build_bundle' FROM outcome AS o JOIN iocs AS i ON i.k = o.k WHERE o.link[1] = 'p' AND NOT missing "
-    "AND NOT blank AND i.kind = 'ipv4_port' AND NOT contains(i.value, ':')) GROUP BY source_name, stage",
+    "AND NOT blank AND NOT hollow AND i.kind = 'ipv4_port' AND NOT contains(i.value, ':')) GROUP BY source_name, stage",
 )
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _run(spark, sf_dir).failures
@@ -268,6 +276,37 @@ def results_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _filled_sql(template: str) -> str:
+    for name, value in (("{c}", "c"), ("{k}", "k"), ("{r}", "(k % 3)")):
+        template = template.replace(name, f"' || CAST({value} AS STRING) || '")
+    return f"'{template}'"
+
+
+def _link_sql(which: int) -> str:
+    s1, sl, pp = (_filled_sql(_LINKS[profile][which]) for profile in (V.S1, V.SL, V.PP))
+    return f"CASE c % 3 WHEN 0 THEN {s1} WHEN 1 THEN {sl} ELSE {pp} END"
+
+
+_LISTING_SQL = (
+    f"'<main>' || CASE WHEN has_post THEN '<article><h2><a href=\"' || {_link_sql(0)} || '\">Post ' || CAST(k AS STRING) || '</a></h2></article>' ELSE '' END "
+    f"|| '<article><h2><a href=\"' || {_link_sql(1)} || '\">Again ' || CAST(k % 3 AS STRING) || '</a></h2></article></main>'"
+)
+_BUNDLE_NAME_SQL = "'{\"run_at\":\"' || strftime(collected_at, '%Y-%m-%d %H:%M:%S') || '\",\"source_name\":\"' || source_name || '\"}'"
+
+
+@query(
+    "run_03_locators",
+    f"{_RESULTS_SQL} SELECT source_name, {shown_sql('collected_at')}, CASE WHEN succeeded AND NOT snapshot_deleted THEN "
+    f"strftime(collected_at, '%Y%m%dT%H%M%S') || '000000+0000_' || sha256({_LISTING_SQL}) END AS snapshot_locator, "
+    f"CASE WHEN stix_object_count > 0 THEN {Q.stix_id('bundle', _BUNDLE_NAME_SQL)} END AS stix_bundle_locator "
+    "FROM results JOIN (SELECT source_name, collected_at, k, c, has_post FROM runs) AS r USING (source_name, collected_at)",
+)
+def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each run's snapshot and bundle are."""
+    results = _run(spark, sf_dir).results.withColumnRenamed("generated_at", "collected_at")
+    return results.select("source_name", shown("collected_at"), "snapshot_locator", "stix_bundle_locator")
+
+
 # ---------------------------------------------------------------- reports over run results
 
 

@@ -79,10 +79,13 @@ def land_pages(pages: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return snapshots, judged.filter("error is not null").select("source_name", "url", "collected_at", "error")
 
 
+EMPTY_BODY = "empty response body"
+
+
 def body_error() -> Column:
     """Why a decoded page cannot become a snapshot, null when it can."""
     blank = F.coalesce(_is_blank(F.col("data")), F.lit(True))
-    return F.coalesce(F.col("decode_error"), F.when(blank, F.lit("empty response body")))
+    return F.coalesce(F.col("decode_error"), F.when(blank, F.lit(EMPTY_BODY)))
 
 
 def snapshot_issues() -> Column:
