@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threatloom.operators import stix as S
 from threatloom.operators import suricata as R
+from threatloom.operators.joins import TASK_ROWS, spread
 from threatloom.session import checkpointed
 
 T0 = dt.datetime(2024, 1, 1)
@@ -28,3 +29,9 @@ def test_rule_rows_send_nothing_to_the_driver(spark):
     rows = R.rule_rows(objects_of(spark), ["source_name"])
     assert "Broadcast" not in plan(rows)
     assert rows.count() == 40
+
+
+def test_tasks_do_not_grow_with_the_rows(spark):
+    rows = spark.range(0, 1_000_000, 1, numPartitions=9)  # more splits than cores, as a large file has
+    tasks = spread(rows).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(tasks) == 1_000_000 and max(tasks) <= 1.1 * TASK_ROWS
