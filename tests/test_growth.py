@@ -1,6 +1,7 @@
 """Plans that must not depend on Spark's guesses of sizes: rows made from small tables may be many."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -35,3 +36,16 @@ def test_tasks_do_not_grow_with_the_rows(spark):
     rows = spark.range(0, 1_000_000, 1, numPartitions=9)  # more splits than cores, as a large file has
     tasks = spread(rows).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(tasks) == 1_000_000 and max(tasks) <= 1.1 * TASK_ROWS
+
+
+def test_shuffles_start_from_more_partitions_with_more_rows(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(name)
+    try:
+        ids = lambda rows: plan(spread(spark.range(0, rows, 1, numPartitions=9)).groupBy((F.col("id") * 7).alias("key")).count())
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        assert re.search(rf"hashpartitioning\(\S+, {usual}\)", ids(1_000))
+        assert re.search(r"hashpartitioning\(\S+, 40\)", ids(1_000_000))
+        assert re.search(r"hashpartitioning\(\S+, 40\)", ids(1_000))  # never lowered
+    finally:
+        spark.conf.unset(name)
