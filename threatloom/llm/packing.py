@@ -48,7 +48,7 @@ def _pieces(path: str, limit: int, with_ids: bool):
             raw, offsets = buffers(batch.column("text"))
             first, n = 0, len(offsets) - 1
             while first < n:
-                last = int(np.searchsorted(offsets, offsets[first] + 2 * CHUNK_BYTES, side="right")) - 1
+                last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
                 last = min(max(last, first + 1), n)
                 data = raw[offsets[first] : offsets[last]]
                 tokens, bounds = encoder.encode(data, offsets[first : last + 1] - offsets[first])

@@ -15,8 +15,9 @@ import numpy as np
 from threatloom.llm import words
 from threatloom.llm.words import SPACES, mix
 
-#: Distinct parts a worker remembers before it starts anew.
-CACHE_PARTS = 1_500_000
+#: Distinct parts, and ids of these, that a worker remembers before it starts anew.
+CACHE_PARTS = 1 << 20
+CACHE_IDS = 1 << 23
 _LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
 
 
@@ -51,26 +52,36 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The same values with room for ``size``, at least doubled."""
+    if size <= len(values):
+        return values
+    larger = np.zeros(max(size, 2 * len(values)), dtype=values.dtype)
+    larger[: len(values)] = values
+    return larger
+
+
 class Encoder:
-    """Ids of texts; keeps those of the parts seen so far."""
+    """Ids of texts; keeps those of the parts seen so far, in arrays only: about 40 bytes a part."""
 
     #: Places in the first look-up table, one per value of the hash's low bits.
-    SLOTS = 1 << 21
+    SLOTS = 1 << 19
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[int, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
+        self.places = np.zeros(0, dtype=np.int32)
         self.slot_hash = np.zeros(self.SLOTS, dtype=np.uint64)
         self.slot_place = np.zeros(self.SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.begins = np.zeros(1 << 12, dtype=np.int64)
-        self.lengths = np.zeros(1 << 12, dtype=np.int64)
+        self.lengths = np.zeros(1 << 12, dtype=np.int32)
 
-    def _learn(self, hashes: list[int], parts: list[bytes], odd: list[bool]) -> None:
+    def _learn(self, hashes: np.ndarray, parts: list[bytes], odd: list[bool]) -> None:
         model, signs, found = self.tokenizer.model, _byte_signs(), []
         for part, whole in zip(parts, odd, strict=True):
             text = part.decode()
@@ -81,18 +92,25 @@ class Encoder:
             if not text.isascii():
                 text = text.encode().decode("latin-1").translate(signs)
             found.append([token.id for token in model.tokenize(text)])
-        first, last = len(self.places), len(self.places) + len(parts)
+        first, last = len(self.hashes), len(self.hashes) + len(parts)
         lengths = np.array([len(x) for x in found], dtype=np.int64)
         total = int(lengths.sum())
-        while last > len(self.begins):
-            self.begins, self.lengths = np.resize(self.begins, 2 * len(self.begins)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.begins, self.lengths = _grown(self.begins, last), _grown(self.lengths, last)
+        self.ids = _grown(self.ids, self.used + total)
         self.ids[self.used : self.used + total] = [i for x in found for i in x]
         self.begins[first:last] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first:last] = lengths
         self.used += total
-        self.places.update(zip(hashes, range(first, last), strict=True))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.places = np.insert(self.places, at, np.arange(first, last, dtype=np.int32))
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes stand among those seen so far, and which do."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        return at, known
 
     def _look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, data: np.ndarray) -> np.ndarray:
         slots = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
@@ -100,13 +118,12 @@ class Encoder:
         missed = np.flatnonzero(self.slot_hash[slots] != hashes)
         if len(missed):
             unique, at, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            names = unique.tolist()
-            fresh = [i for i, value in enumerate(names) if value not in self.places]
-            if fresh:
+            fresh = np.flatnonzero(~self._known(unique)[1])
+            if len(fresh):
                 raw, where = data.tobytes(), missed[at[fresh]]
                 begins, closes = starts[where].tolist(), ends[where].tolist()
-                self._learn([names[i] for i in fresh], [raw[a:b] for a, b in zip(begins, closes, strict=True)], odd[where].tolist())
-            found = np.array([self.places[value] for value in names], dtype=np.int64)
+                self._learn(unique[fresh], [raw[a:b] for a, b in zip(begins, closes, strict=True)], odd[where].tolist())
+            found = self.places[self._known(unique)[0]]
             place[missed] = found[inverse]
             slots = (unique & np.uint64(self.SLOTS - 1)).astype(np.int64)
             self.slot_hash[slots], self.slot_place[slots] = unique, found
@@ -115,7 +132,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 bounds."""
         starts, ends, hashes, odd = _parts(data, offsets)
-        if len(self.places) > CACHE_PARTS:
+        if len(self.hashes) > CACHE_PARTS or self.used > CACHE_IDS:
             self.forget()
         place = self._look_up(hashes, starts, ends, odd, data)
         lengths = self.lengths[place]
