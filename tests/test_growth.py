@@ -5,9 +5,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from threatloom import fixed_values as V
+from threatloom.functions.identifiers import packed_id, unpacked_id
 from threatloom.operators import stix as S
 from threatloom.operators import suricata as R
 from threatloom.operators.joins import TASK_ROWS, spread
+from threatloom.queries import stix_queries as Q
 from threatloom.session import checkpointed
 
 T0 = dt.datetime(2024, 1, 1)
@@ -49,3 +52,40 @@ def test_shuffles_start_from_more_partitions_with_more_rows(spark):
         assert re.search(r"hashpartitioning\(\S+, 40\)", ids(1_000))  # never lowered
     finally:
         spark.conf.unset(name)
+
+
+def test_ids_are_packed_one_to_one(spark):
+    uuid = "0123abcd-4567-5ef0-89ab-cdef01234567"
+    ids = [f"url--{uuid}", f"--{uuid}", uuid, f"url--{uuid.upper()}", f"url--{uuid}\n", f"url--{uuid}--{uuid}", f"url-{uuid}", f"é--{uuid}", "", "x1", "--", None, "\x01", "url--" + "0" * 36]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "n int, id string").withColumn("packed", packed_id(F.col("id")))
+    found = rows.select("id", "packed", unpacked_id(F.col("packed")).alias("back")).collect()
+    assert [r.back for r in found] == [r.id for r in found]
+    assert len({r.packed and bytes(r.packed) for r in found}) == len(ids)
+    assert len(found[0].packed) == 1 + 16 + len("url--")
+
+
+def test_readers_of_reports_build_no_observables(spark):
+    entries = Q.stix_entries(spark, "/root/testdata/sf0.001")
+    assert "checkpoint" not in entries._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in entries._jdf.queryExecution().optimizedPlan().toString()
+    refs = R.reports_by_ref(R.object_fields(S.bundle_objects(entries)), ["source_name"])
+    assert "Join" not in plan(refs) and "hashpartitioning" not in plan(refs)
+
+
+def test_rules_read_objects_and_references_once(spark):
+    text = plan(R.rule_rows(objects_of(spark), ["source_name"]))
+    assert text.count("Join") == text.count("ShuffledHashJoin") == 2  # content to places, references to indicators
+    assert "SortMergeJoin" not in text and "ObjectHashAggregate" not in text
+
+
+def test_rules_of_shared_indicators_and_odd_objects(spark):
+    schema = "source_name string, type string, id string, value string, object_refs array<string>, external_references array<struct<url:string>>"
+    many = [("A", "report", f"report--{i}", None, ["hot", "x1", "other"], [(f" https://r/{i} ",), (" ",), (None,)]) for i in range(3000)]
+    rows = many + [
+        ("A", "ipv4-addr", "hot", "1.1.1.1", None, None), ("A", "domain-name", "x1", " a.b ", None, None), ("A", "domain-name", "x2", "  ", None, None),
+        ("A", "domain-name", "alone", "c.d", None, None), ("A", "url", "other", "https://u", None, None), ("B", "ipv4-addr", "hot", "1.1.1.1", None, None),
+        ("B", "report", "report--b", None, ["hot"], [(" ",)]), ("B", "report", "report--c", None, None, None),
+    ]
+    found = {tuple(r) for r in R.rule_rows(spark.createDataFrame(rows, schema), ["source_name"]).collect()}
+    none = V.NO_REFERENCE_URL
+    want = {(kind, value, f"https://r/{i}") for i in range(3000) for kind, value in (("ipv4", "1.1.1.1"), ("domain", "a.b"))}
+    assert found == want | {("domain", "c.d", none), ("ipv4", "1.1.1.1", none)}
