@@ -10,8 +10,10 @@ from threatloom.functions.identifiers import packed_id, unpacked_id
 from threatloom.operators import stix as S
 from threatloom.operators import suricata as R
 from threatloom.operators.joins import TASK_ROWS, spread
+from threatloom.operators.numbering import number_rows
 from threatloom.queries import stix_queries as Q
 from threatloom.session import checkpointed
+from threatloom.sources import bundles
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -89,3 +91,18 @@ def test_rules_of_shared_indicators_and_odd_objects(spark):
     none = V.NO_REFERENCE_URL
     want = {(kind, value, f"https://r/{i}") for i in range(3000) for kind, value in (("ipv4", "1.1.1.1"), ("domain", "a.b"))}
     assert found == want | {("domain", "c.d", none), ("ipv4", "1.1.1.1", none)}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle") for i in range(files.size()))
+
+
+def test_stored_results_leave_no_shuffles(spark, tmp_path):
+    objects = S.bundle_objects(Q.stix_entries(spark, "/root/testdata/sf0.001"))
+    before = shuffle_files(spark)
+    bundles.write_bundles(objects, str(tmp_path / "bundles"))
+    assert shuffle_files(spark) <= before and bundles.read_bundle_lines(spark, str(tmp_path / "bundles")).count() == objects.count()
+    before = shuffle_files(spark)
+    numbered = number_rows(spark.range(0, 5000, 1, numPartitions=5), ["id"], "n")
+    assert shuffle_files(spark) <= before and numbered.filter("id <> n").isEmpty()
