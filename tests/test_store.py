@@ -115,3 +115,14 @@ def test_deletion_rewrites_touched_folders_only(spark, tmp_path):
     after = files("A")
     snapshots.delete_snapshots(gone, path)
     assert files("A") == after and snapshots.load_snapshots(spark, path).count() == 5
+
+
+def test_small_rows_of_many_folders_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(f"S{n}", "index", T0 + dt.timedelta(days=n), f"{n}", b"x") for n in range(64)]
+    schema = "source_name string, snapshot_kind string, collected_at timestamp, sha256_hex string, data binary"
+    snapshots.write_snapshots(spark.createDataFrame(rows, schema), str(tmp_path / "store"))
+    tasks = lambda folder: {f.name[:10] for f in (tmp_path / folder).rglob("part-*.parquet")}
+    assert snapshots.load_snapshots(spark, str(tmp_path / "store")).count() == 64 and len(tasks("store")) > 1
+    runs = spark.createDataFrame([(r[0], r[2], 1) for r in rows], "source_name string, generated_at timestamp, n int")
+    run_history.merge_runs(runs, str(tmp_path / "history"))
+    assert run_history.load_runs(spark, str(tmp_path / "history")).count() == 64 and len(tasks("history")) > 1
