@@ -11,6 +11,7 @@ from threatloom.operators import stix as S
 from threatloom.operators import suricata as R
 from threatloom.operators.joins import TASK_ROWS, spread
 from threatloom.operators.numbering import number_rows
+from threatloom.plans import full_run
 from threatloom.queries import stix_queries as Q
 from threatloom.session import checkpointed
 from threatloom.sources import bundles
@@ -106,3 +107,11 @@ def test_stored_results_leave_no_shuffles(spark, tmp_path):
     before = shuffle_files(spark)
     numbered = number_rows(spark.range(0, 5000, 1, numPartitions=5), ["id"], "n")
     assert shuffle_files(spark) <= before and numbered.filter("id <> n").isEmpty()
+
+
+def test_shared_stages_of_a_run_leave_no_shuffles_and_entries_are_not_stored(spark):
+    before = shuffle_files(spark)
+    table = full_run.in_memory("replay", lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("key")).count())
+    assert shuffle_files(spark) <= before and table.count() == 7
+    made = spark.range(3)
+    assert full_run.in_memory("entries", lambda: made) is made
